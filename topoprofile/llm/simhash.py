@@ -6,16 +6,21 @@ words as one shingle; no word: fingerprint 0). A bit of the fingerprint is 1 if
 it is set in over half of the shingles' XXH64 hashes (UTF-8, seed 42).
 
 Links are pairs of fingerprints with at most ``budget`` differing bits. The 64
-bits are cut into ``budget + 1`` blocks; a linked pair agrees on a whole block at
-least, so for each block the distinct fingerprints are dealt by that block's
-value, which is the top of a trie over the rotated bits. Below it node pairs are
+bits are cut into ``budget + agree`` blocks; a linked pair agrees on ``agree``
+whole blocks at least, so for each choice of so many blocks the distinct
+fingerprints are dealt by their values, the top of a trie over the bits in that
+order. Below it node pairs are
 traversed together: each step splits both nodes by the next bit, adds one to the
 differing bits where the branches part, and drops the pair once the budget is
 exceeded. Buckets over ``BUCKET`` fingerprints are cut into slices, and every
 pair of slices becomes a task of its own, so no task grows with a bucket. A task
-hands on a spanning forest of its links, never all pairs; components follow from
+hands on spanning forests of its links, never all pairs; components follow from
 those by star contraction.
 
+``keep_one`` (the corpus filter) takes five-word shingles, a budget of eight bits
+and then keeps only links whose texts share 0.8 of their shingles, so chance
+neighbours among many fingerprints stay apart.
+
 Defined cases. Null text: no words. Equal fingerprints link, fingerprint 0 too.
 Null document ids take part, and are named only if a component has no other id
 (then null). Repeated rows are kept. An empty table gives an empty result.
@@ -24,6 +29,7 @@ Null document ids take part, and are named only if a component has no other id
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topoprofile.llm.joins import HOT_SHARE, join_lookup
+from topoprofile.llm.joins import BROADCAST_ROWS, join_lookup
 from topoprofile.operators.components import connected_components
 from topoprofile.runtime import materialize
 
@@ -94,6 +100,24 @@ def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
+def _forests(n: int, i: np.ndarray, j: np.ndarray, forests: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of ``forests`` edge-disjoint spanning forests of the links (i, j)."""
+    left, chosen = np.arange(len(i)), []
+    for _ in range(forests):
+        label, taken = np.arange(n), np.zeros(len(i), bool)
+        while len(cross := left[label[i[left]] != label[j[left]]]):
+            # each component takes its first link that leaves it
+            pick = np.full(n, len(i))
+            np.minimum.at(pick, label[i[cross]], cross)
+            np.minimum.at(pick, label[j[cross]], cross)
+            taken[pick[pick < len(i)]] = True
+            label = _stars(n, i[taken], j[taken])
+        chosen.append(np.flatnonzero(taken))
+        left = left[~taken[left]]
+    chosen = np.concatenate(chosen)
+    return i[chosen], j[chosen]
+
+
 def _leaf_pairs(bits: np.ndarray, node: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     alo, ahi, blo, bhi = node[:, :4].T
     sizes = (ahi - alo) * (bhi - blo)
@@ -105,8 +129,8 @@ def _leaf_pairs(bits: np.ndarray, node: np.ndarray, budget: int) -> tuple[np.nda
     return i[near], j[near]
 
 
-def trie_links(group: np.ndarray, bits: np.ndarray, budget: int, depth: int) -> np.ndarray:
-    """Self-join of the tries of each group; the smallest linked index of every row.
+def trie_links(group: np.ndarray, bits: np.ndarray, budget: int, depth: int, forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Self-join of the tries of each group: links (row, row) of spanning forests.
 
     Rows are sorted by (group, bits) and distinct; ``bits`` agree within a group
     on the first ``depth`` bits. A node is a range of rows; a node pair is (lo,
@@ -114,22 +138,20 @@ def trie_links(group: np.ndarray, bits: np.ndarray, budget: int, depth: int) ->
     """
     n = len(bits)
     label = np.arange(n)
-    if n < 2:
-        return label
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    starts = np.flatnonzero(np.r_[n > 0, group[1:] != group[:-1]])
     stops = np.r_[starts[1:], n]
     several = stops - starts > 1
     roots = np.stack([starts, stops, starts, stops, np.zeros_like(starts)], axis=1)[several]
     ones: dict[int, np.ndarray] = {}
-    links: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
+    links = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    held = chosen = 0
     stack = [(depth, roots)] if len(roots) else []
     while stack:
         at, pairs = stack.pop()
         if len(pairs) > PAIRS_AT_ONCE:
             stack += [(at, part) for part in np.array_split(pairs, -(-len(pairs) // PAIRS_AT_ONCE))]
             continue
-        if held:  # two nodes that are wholly in one component have nothing to add
+        if chosen and forests == 1:  # two nodes that are wholly in one component have nothing to add
             change = np.r_[0, np.cumsum(label[1:] != label[:-1])]
             a, b = pairs[:, 0], pairs[:, 2]
             done = (change[pairs[:, 1] - 1] == change[a]) & (change[pairs[:, 3] - 1] == change[b]) & (label[a] == label[b])
@@ -141,10 +163,10 @@ def trie_links(group: np.ndarray, bits: np.ndarray, budget: int, depth: int) ->
         if len(i):
             links.append((i, j))
             held += len(i)
-            if held > PAIRS_AT_ONCE:
-                roots_now = np.arange(n)
-                label = _stars(n, np.r_[roots_now, *(x for x, _ in links)], np.r_[label, *(y for _, y in links)])
-                links, held = [], 1
+            if held > PAIRS_AT_ONCE + chosen:
+                links = [_forests(n, *(np.concatenate(x) for x in zip(*links, strict=True)), forests)]
+                held = chosen = len(links[0][0])
+                label = _stars(n, *links[0])
         pairs = pairs[~few]
         if not len(pairs):
             continue
@@ -166,24 +188,40 @@ def trie_links(group: np.ndarray, bits: np.ndarray, budget: int, depth: int) ->
         own = (below[:, 0] == below[:, 2]) & (below[:, 1] - below[:, 0] < 2)
         if len(below := below[~own]):
             stack.append((at + 1, below))
-    if links:
-        label = _stars(n, np.r_[np.arange(n), *(x for x, _ in links)], np.r_[label, *(y for _, y in links)])
-    return label
+    return _forests(n, *(np.concatenate(x) for x in zip(*links, strict=True)), forests)
+
 
+def _tables(budget: int, agree: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For each choice of ``agree`` blocks: their width, and all blocks (offset from the top, width) with those first."""
+    count = budget + agree
+    edges = [round(64 * k / count) for k in range(count + 1)]
+    blocks = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [(sum(w for _, w in first), [*first, *(b for b in blocks if b not in first)]) for first in combinations(blocks, agree)]
 
-def _blocks(budget: int) -> list[tuple[int, int]]:
-    """(offset, width) of the ``budget + 1`` blocks of 64 bits."""
-    edges = [round(64 * k / (budget + 1)) for k in range(budget + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
+def _permuted(fps: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
+    out, at = np.zeros(len(fps), np.uint64), 0
+    for offset, width in blocks:
+        part = (fps << np.uint64(offset)) >> np.uint64(64 - width)
+        at += width
+        out |= part << np.uint64(64 - at)
+    return out
 
-def hamming_links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> DataFrame:
-    """``(src, dst)``: a spanning forest of the links among the distinct ``fp``, task by task."""
-    blocks = _blocks(budget)
-    least = min(w for _, w in blocks)
-    turned = lambda o: "fp" if not o else f"(shiftleft(fp, {o}) | shiftrightunsigned(fp, {64 - o}))"
-    rows = [f"named_struct('block', cast({k} AS int), 'value', cast(shiftrightunsigned({turned(o)}, {64 - w}) AS int), 'bits', {turned(o)})" for k, (o, w) in enumerate(blocks)]
-    dealt = fps.select("fp", F.expr(f"inline(array({', '.join(rows)}))"))
+
+def hamming_links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET, agree: int = 1, forests: int = 1) -> DataFrame:
+    """``(src, dst)``: linked pairs of the distinct ``fp``, spanning forests of each task's links."""
+    tables = _tables(budget, agree)
+    least = min(w for w, _ in tables)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            for k, (width, blocks) in enumerate(tables):
+                bits = _permuted(fp, blocks)
+                columns = [np.full(len(fp), k, np.int32), (bits >> np.uint64(64 - width)).astype(np.int32), bits.view(np.int64), fp.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "value", "bits", "fp"])
+
+    dealt = fps.select("fp").mapInArrow(deal, "block int, value int, bits long, fp long")
     # at most sum(2**width) buckets: a bound that does not grow with the data
     large = dealt.groupBy("block", "value").count().where(F.col("count") > bucket)
     large = materialize(large.select("block", "value", F.ceil(F.col("count") / bucket).cast("int").alias("slices")), "buckets")
@@ -192,17 +230,14 @@ def hamming_links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) ->
     tasks = sliced.withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
     # slices alone make a task only where there is one slice: each pair of slices joins its own rows too
     tasks = tasks.where("slices = 1 OR other != slice").withColumn("lo", F.least("slice", "other")).withColumn("hi", F.greatest("slice", "other"))
-    keys = ["block", "value", "lo", "hi"]
-    dealt = tasks.select(F.expr("(cast(block AS bigint) << 56) | (cast(value AS bigint) << 32) | (cast(lo AS bigint) << 16) | hi").alias("task"), "bits", "fp", *keys)
-    dealt = dealt.repartition("task").sortWithinPartitions("task", F.expr("bits ^ -9223372036854775808L")).select("task", "bits", "fp")
+    task = F.expr("(cast(block AS bigint) << 56) | (cast(value AS bigint) << 32) | (cast(lo AS bigint) << 16) | hi")
+    dealt = tasks.select(task.alias("task"), "bits", "fp").repartition("task")
+    dealt = dealt.sortWithinPartitions("task", F.expr("bits ^ -9223372036854775808L"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
-
         def linked(task, bits, fp):
-            label = trie_links(task, bits.view(np.uint64), budget, least)
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[label[moved]])], schema=schema)
+            i, j = trie_links(task, bits.view(np.uint64), budget, least, forests)
+            return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], names=["src", "dst"])
 
         held = [np.empty(0, np.int64)] * 3
         for batch in batches:
@@ -215,39 +250,68 @@ def hamming_links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) ->
     return dealt.mapInArrow(join, "src long, dst long")
 
 
-def components_of(docs_fp: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> DataFrame:
-    """``docs_fp`` (``doc_id, fp``, read from a table) with ``component_id``."""
-    classes = materialize(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("count")), "classes")
-    labels = connected_components(materialize(hamming_links(classes.select("fp"), budget, bucket), "links"))
+def components_of(docs_fp: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+    """``docs_fp`` with ``component_id``; ``classes``: ``fp, least, count``, the smallest id and rows of each fingerprint."""
+    labels = connected_components(links)
     rooted = classes.join(labels.select(F.col("id").alias("fp"), F.col("component").alias("root")), "fp", "left")
     rooted = materialize(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_fp"))
     per_root = rooted.join(least.where("n_fp > 1"), "root", "left")
     per_fp = per_root.select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    counts = classes.select("fp", "count")
-    return join_lookup(docs_fp, per_fp, "fp", counts, docs_fp.count())
-
-
-def keep_one(docs: DataFrame, width: int = 5, budget: int = BUDGET) -> DataFrame:
-    """``docs`` with one row per component: its smallest id (of rows that share it, the first text)."""
-    extra = "_simhash"
-    keyed = docs.withColumn(extra, F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull()))
-    seen = materialize(fingerprints(keyed.select("doc_id", "text", extra), width).select("doc_id", "fp", extra), "fingerprints")
-    joined = components_of(seen.select("doc_id", "fp", extra), budget)
-    chosen = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("component_id", extra, "doc_id").distinct()
-    # several texts may share the id: the smallest hash stays
-    chosen = chosen.groupBy("component_id").agg(F.min(extra).alias(extra))
-    kept = keyed.join(materialize(chosen.select(extra).distinct(), "kept"), extra, "left_semi")
-    repeated = seen.groupBy(extra).count().where("count > 1")
+    return join_lookup(docs_fp, per_fp, "fp", classes.select("fp", "count"), docs_fp.count())
+
+
+def _shingle_set(text: str | None, width: int) -> np.ndarray:
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    digest = xxhash.xxh64_intdigest
+    found = {digest(b" ".join(words[k : k + width]), SEED) for k in range(max(1, len(words) - width + 1))} if words else set()
+    return np.fromiter(found, np.uint64, len(found)).view(np.int64)
+
+
+def similar_links(docs: DataFrame, links: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
+    """The links whose fingerprints' documents (``classes.one``, a ``_row`` of ``docs``) share ``least`` of their shingles."""
+
+    def shingled(texts: pd.Series) -> pd.Series:
+        return pd.Series([_shingle_set(t, width) for t in texts])
+
+    ends = links.select(F.col("src").alias("fp")).unionByName(links.select(F.col("dst").alias("fp"))).distinct()
+    wanted = materialize(classes.join(ends, "fp").select("fp", F.col("one").alias("_row")), "linked")
+    wanted = F.broadcast(wanted) if wanted.count() <= 10 * BROADCAST_ROWS else wanted
+    sets = docs.select("_row", "text").join(wanted, "_row").select("fp", F.pandas_udf(shingled, "array<long>")("text").alias("set"))
+    sets = materialize(sets.dropDuplicates(["fp"]), "shingles")
+    left = links.join(sets.select(F.col("fp").alias("src"), F.col("set").alias("a")), "src")
+    both = left.join(sets.select(F.col("fp").alias("dst"), F.col("set").alias("b")), "dst")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= F.lit(least) * (F.size("a") + F.size("b") - shared)).select("src", "dst")
+
+
+def keep_one(docs: DataFrame, width: int = 5, budget: int = 8, least: float = 0.8) -> DataFrame:
+    """``docs`` without all but one row of each component: the one with the smallest id (of several, the smallest text hash)."""
+    row = F.xxhash64("doc_id", F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("_row", row)
+    seen = materialize(fingerprints(keyed.select("doc_id", "text", "_row"), width).select("doc_id", "fp", "_row"), "fingerprints")
+    classes = seen.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("count"), F.min("_row").alias("one"))
+    classes = materialize(classes, "classes")
+    links = materialize(hamming_links(classes.select("fp"), budget, agree=2, forests=3), "links")
+    links = materialize(similar_links(keyed, links, classes, width, least), "similar")
+    joined = components_of(seen, links, classes.select("fp", "least", "count"))
+    # the rows to drop are the fewer: all but each component's first, and repeats of that
+    first = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_row").alias("_row"))
+    kept = materialize(first.select("_row"), "kept")
+    dropped = materialize(joined.select("_row").join(kept, "_row", "left_anti").distinct(), "dropped")
+    stay = keyed.join(F.broadcast(dropped) if dropped.count() <= 10 * BROADCAST_ROWS else dropped, "_row", "left_anti")
+    repeated = seen.groupBy("_row").count().where("count > 1").select("_row")
+    repeated = materialize(repeated.join(kept, "_row", "left_semi"), "repeated")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    again = kept.join(repeated.select(extra), extra, "left_semi").dropDuplicates([extra])
-    return kept.join(repeated.select(extra), extra, "left_anti").unionByName(again).select(*docs.columns)
+        return stay.select(*docs.columns)
+    again = stay.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+    return stay.join(repeated, "_row", "left_anti").unionByName(again).select(*docs.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every whole document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     seen = materialize(fingerprints(docs).select("doc_id", "fp"), "fingerprints")
-    joined = components_of(seen)
+    classes = materialize(seen.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("count")), "classes")
+    joined = components_of(seen, materialize(hamming_links(classes), "links"), classes)
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
