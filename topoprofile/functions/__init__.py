@@ -1 +1,67 @@
+"""Column functions: exact sums, and the named aggregations of neighbour values."""
 
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Sums are taken over decimals of this many places, so their value does not
+#: depend on the order in which rows arrive and equal neighbourhoods tie exactly.
+SCALE = 12
+
+
+def exact(value: Column) -> Column:
+    return value.cast(f"decimal(38,{SCALE})")
+
+
+def exact_sum(value: Column) -> Column:
+    return F.sum(exact(value)).cast("double")
+
+
+def exact_mean(value: Column) -> Column:
+    return exact_sum(value) / F.count(value)
+
+
+@dataclass(frozen=True)
+class Aggregation:
+    """A named reduction of neighbour values and what a node without neighbours gets."""
+
+    name: str
+    reduce: Callable[[Column], Column]
+    empty: float = 0.0
+
+
+_NAMED = {
+    a.name: a
+    for a in (
+        Aggregation("sum", exact_sum),
+        Aggregation("mean", exact_mean),
+        Aggregation("min", F.min),
+        Aggregation("max", F.max),
+        Aggregation("count", F.count),
+        Aggregation("std", lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))),
+        Aggregation("var", lambda c: F.coalesce(F.var_samp(c), F.lit(0.0))),
+        Aggregation("median", F.median),
+        Aggregation("nunique", F.count_distinct),
+        Aggregation("prod", F.product, 1.0),
+    )
+}
+DEFAULT_AGGS = ("sum", "mean")
+
+
+def aggregations(given: Sequence | None) -> list[Aggregation]:
+    """Names, ``(name, column function)`` pairs or ``Aggregation``s; nothing given means sum and mean."""
+    found = []
+    for item in given or DEFAULT_AGGS:
+        if isinstance(item, Aggregation):
+            found.append(item)
+        elif isinstance(item, str):
+            if item not in _NAMED:
+                raise ValueError(f"unknown aggregation {item!r}; known: {', '.join(_NAMED)}")
+            found.append(_NAMED[item])
+        else:
+            found.append(Aggregation(*item))
+    return found

@@ -1 +1 @@
-
+"""Operators over graphs and feature tables."""
