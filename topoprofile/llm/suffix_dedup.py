@@ -40,12 +40,15 @@ from topoprofile.llm.joins import join_lookup
 from topoprofile.runtime import materialize
 
 LENGTH = 200
-GRAM = 16
+#: Bytes of a gram, a multiple of 8: longer ones recur less by chance, shorter ones make longer runs.
+GRAM = 40
 #: Bytes of texts whose keys are found at once, and of strings in one suffix array.
 BUFFER = 4_000_000
-SHARD = 2_000_000
+SHARD = 1_500_000
 #: Contents of one key that a shard takes (each under 2 * LENGTH bytes).
-STRINGS = 10_000
+STRINGS = 4_000
+#: Bits of a place in packed sort keys: a shard has under 2**21 bytes.
+PLACE_BITS = 21
 #: Window starts in a run: as many as one gram stays inside.
 RUN = LENGTH - GRAM + 1
 #: Lane length of the common-prefix scan.
@@ -76,11 +79,14 @@ def window_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         return empty
     data = np.frombuffer(b"".join(texts), np.uint8)
     words = _words(data)
-    grams = words[: len(data) - 8] * np.uint64(0x9E3779B97F4A7C15) + words[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    grams ^= grams >> np.uint64(29)
+    count = len(data) - GRAM + 1
+    grams = np.zeros(count, np.uint64)
+    for at in range(0, GRAM, 8):  # mixed word by word
+        grams += words[at : at + count]
+        grams *= np.uint64(0x9E3779B97F4A7C15)
+        grams ^= grams >> np.uint64(29)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
     grams ^= grams >> np.uint64(32)
-    grams = grams[: len(data) - GRAM + 1]
     keys = _sliding(grams, RUN, np.minimum)
     ends = np.cumsum(sizes)
     begins = ends - sizes
@@ -112,43 +118,48 @@ def window_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return number, (starts - begins[number]).astype(np.int32), counts.astype(np.int32), key.view(np.int64), again.astype(np.int32)
 
 
-def suffix_array(words: np.ndarray, end: np.ndarray, zeros: bool) -> np.ndarray:
+def _by_keys(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (under 2**43) and places in key order, equal keys by place: one plain sort of packed numbers where they fit."""
+    if len(places) and int(places.max()) >= 1 << PLACE_BITS:
+        order = np.lexsort((places, keys))
+        return keys[order], places[order]
+    packed = np.sort(keys << np.uint64(PLACE_BITS) | places.astype(np.uint64))
+    return packed >> np.uint64(PLACE_BITS), (packed & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int32)
+
+
+def suffix_array(words: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Positions in suffix order; a suffix stops at its string's ``end``, equal ones stay in order of position.
 
     Larsson-Sadakane: ranks are group heads in the order so far; only groups of
     several members are sorted again, by the rank of what follows.
     """
-    n = len(words)
-    left = end - np.arange(n)
-    short = np.maximum(8 - left, 0).astype(np.uint64)
-    head = words >> (short * np.uint64(8)) << (short * np.uint64(8))
-    # a zero byte looks like the end of a string: then the length decides
-    order = np.lexsort((np.minimum(left, 8), head)) if zeros else np.argsort(head, kind="stable")
-    same = head[order][1:] == head[order][:-1]
-    if zeros:
-        same &= np.minimum(left, 8)[order][1:] == np.minimum(left, 8)[order][:-1]
-    begin = np.r_[True, ~same]
-    starts = np.flatnonzero(begin)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(starts, np.diff(np.r_[starts, n]))
-    several = np.r_[~begin[1:], False] | ~begin
-    members, depth = order[several], 8
+    n, depth = len(words), 5
+    left = end - np.arange(n, dtype=end.dtype)
+    # five bytes, those behind the end as zeros, and how many there are: a zero byte is no end
+    size = np.minimum(left, depth).astype(np.uint64)
+    key = words >> (np.uint64(8) * (np.uint64(8) - size)) << (np.uint64(8) * (np.uint64(depth) - size)) << np.uint64(3) | size
+    key, members = _by_keys(key, np.arange(n, dtype=np.int32))
+    begin = np.r_[n > 0, key[1:] != key[:-1]]
+    rank = np.empty(n, np.int32)
+    rank[members] = np.maximum.accumulate(np.where(begin, np.arange(n, dtype=np.int32), 0)) if n else 0
+    members = members[np.r_[~begin[1:], False] | ~begin]
     while len(members := members[left[members] >= depth]):
-        members = np.sort(members)
-        behind = members + depth
-        follow = np.where(behind < end[members], rank[np.minimum(behind, n - 1)] + 1, 0)
-        own = rank[members]
-        key = own << np.int64(32) | follow
-        sort = np.argsort(key, kind="stable")
-        key, own, members = key[sort], own[sort], members[sort]
+        follow = np.where(left[members] > depth, rank[np.minimum(members + depth, n - 1)] + 1, 0)
+        key = rank[members].astype(np.uint64) << np.uint64(22) | follow.astype(np.uint64)
+        if n >= 1 << 21:  # the packed key does not hold both ranks
+            order = np.lexsort((members, follow, rank[members]))
+            members, key = members[order], np.cumsum(np.r_[0, np.any(np.diff(np.stack([rank[members], follow])[:, order], axis=1), axis=0)])
+            own = rank[members]
+        else:
+            key, members = _by_keys(key, members)
+            own = key >> np.uint64(22)
         begin = np.r_[True, key[1:] != key[:-1]]
         group = np.r_[True, own[1:] != own[:-1]]
-        at = np.arange(len(key))
+        at = np.arange(len(key), dtype=np.int32)
         offset = np.maximum.accumulate(np.where(begin, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
-        rank[members] = own + offset
-        several = np.r_[~begin[1:], False] | ~begin
-        members, depth = members[several], depth * 2
-    return np.argsort(rank, kind="stable")
+        rank[members] += offset
+        members, depth = members[np.r_[~begin[1:], False] | ~begin], depth * 2
+    return _by_keys(rank.astype(np.uint64), np.arange(n, dtype=np.int32))[1]
 
 
 _BYTES = np.array([1 << (8 * k) for k in range(8)], np.uint64)
@@ -161,13 +172,13 @@ def common_prefixes(words: np.ndarray, end: np.ndarray, order: np.ndarray, most:
     text order only looks at what is new. Lanes of the text are scanned together.
     """
     n = len(order)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    limit = np.minimum(end - np.arange(n), most)
+    limit = np.minimum(end - np.arange(n, dtype=np.int32), most)
     limit = np.where(before >= 0, np.minimum(limit, end[before] - before), 0)
-    shared = np.zeros(n, np.int64)
+    shared = np.zeros(n, np.int32)
     lanes = np.arange(0, n, LANE)
-    held = np.zeros(len(lanes), np.int64)
+    held = np.zeros(len(lanes), np.int32)
     for t in range(LANE):
         at = lanes[lanes + t < n] + t
         held = np.minimum(np.maximum(held[: len(at)] - 1, 0), limit[at])
@@ -175,7 +186,7 @@ def common_prefixes(words: np.ndarray, end: np.ndarray, order: np.ndarray, most:
         while len(live):
             i = at[live]
             differ = words[i + held[live]] ^ words[before[i] + held[live]]
-            held[live] = np.minimum(held[live] + 8 - np.searchsorted(_BYTES, differ, side="right"), limit[i])
+            held[live] = np.minimum(held[live] + 8 - np.searchsorted(_BYTES, differ, side="right").astype(np.int32), limit[i])
             live = live[(differ == 0) & (held[live] < limit[i])]
         shared[at] = held
     return shared[order]
@@ -188,9 +199,9 @@ class Shard:
         self.sizes = np.array([len(s) for s in strings], np.int64)
         data = np.frombuffer(b"".join(strings), np.uint8)
         self.ends = np.cumsum(self.sizes)
-        self.end = np.repeat(self.ends, self.sizes)
+        self.end = np.repeat(self.ends, self.sizes).astype(np.int32)
         self.words = _words(data)
-        self.order = suffix_array(self.words, self.end, bool((data == 0).any()))
+        self.order = suffix_array(self.words, self.end)
         shared = common_prefixes(self.words, self.end, self.order)
         whole = np.r_[shared >= LENGTH, False]
         self.repeats = np.zeros(len(data), bool)
