@@ -43,7 +43,7 @@ LENGTH = 200
 #: Bytes of a gram, a multiple of 8: longer ones recur less by chance, shorter ones make longer runs.
 GRAM = 40
 #: Bytes of texts whose keys are found at once, and of strings in one suffix array.
-BUFFER = 4_000_000
+BUFFER = 2_000_000
 SHARD = 1_500_000
 #: Contents of one key that a shard takes (each under 2 * LENGTH bytes).
 STRINGS = 4_000
