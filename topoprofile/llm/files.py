@@ -38,6 +38,15 @@ def opened(uri: str) -> Iterator:
         yield source
 
 
+#: Rows of an Arrow batch of texts: a Python worker and the JVM's own buffers hold a few batches at once.
+ROWS_PER_BATCH = 1_000
+
+
+def small_batches(spark) -> None:
+    """Texts go to Python workers in batches of few rows; set for the session, as plans run later."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+
+
 def partition_id() -> int:
     return TaskContext.get().partitionId()
 

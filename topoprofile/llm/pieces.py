@@ -38,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topoprofile.llm.files import small_batches
+
 MARK = "▁"
-#: Marked words that a worker keeps, and checked pairs of pieces.
-CACHE = 700_000
-PAIRS = 1_000_000
+#: Distinct marked words of a worker's younger cache (an older one is as large), and checked pairs of pieces.
+CACHE = 200_000
+PAIRS = 500_000
 #: Characters whose distinct words are searched together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
@@ -106,6 +108,7 @@ class PieceModel:
         self.code = "H" if self.width.itemsize == 2 else "I"
         self.allowed: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of_worker(cls, path: str) -> PieceModel:
@@ -198,8 +201,11 @@ class PieceModel:
             split.append(words)
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
+            self.older, self.known = self.known, {}  # what is used again moves up
             new = set().union(*split)
+        if self.older:
+            self.known |= {word: self.older[word] for word in new if word in self.older}
+            new.difference_update(self.known)
         new = sorted(new)
         for word, ids in zip(new, self.search([MARK + w for w in new]), strict=True):
             self.known[word] = array(self.code, ids).tobytes()
@@ -228,6 +234,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", digest: bool =
 
     With ``digest`` also ``decoded_sha256``: of the text the ids decode to.
     """
+    small_batches(docs.sparkSession)
     added = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + digest * [T.StructField("decoded_sha256", T.StringType())]
     docs = docs.drop(*(f.name for f in added))
     schema = T.StructType([*docs.schema.fields, *added])

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topoprofile.llm.files import small_batches
 from topoprofile.llm.joins import join_small
 from topoprofile.runtime import materialize
 
@@ -99,6 +100,7 @@ def _text_features(texts: pd.Series) -> pd.DataFrame:
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the features, ``base_failed`` and ``_group`` added."""
+    small_batches(docs.sparkSession)
     named = docs.withColumn("_f", F.pandas_udf(_text_features, FEATURES)(F.col(text)))
     names = [c.split()[0] for c in FEATURES.split(", ")]
     out = named.select(*(F.col(c) for c in docs.columns), *(F.col("_f")[n].alias(n) for n in names))

@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topoprofile.llm.files import small_batches
 from topoprofile.llm.joins import BROADCAST_ROWS, join_lookup
 from topoprofile.operators.components import connected_components
 from topoprofile.runtime import materialize
@@ -48,8 +49,8 @@ BUDGET = 4
 #: Fingerprints of a bucket that one task takes.
 BUCKET = 50_000
 #: Rows a task joins at once, and node pairs it holds at once.
-ROWS_AT_ONCE = 200_000
-PAIRS_AT_ONCE = 500_000
+ROWS_AT_ONCE = 100_000
+PAIRS_AT_ONCE = 150_000
 #: A node pair with at most so many leaf pairs is compared leaf by leaf.
 LEAVES = 64
 
@@ -84,6 +85,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, text: str = "text") -> Dat
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint_of(t, width) for t in texts], np.uint64).view(np.int64))
 
+    small_batches(docs.sparkSession)
     return docs.withColumn("fp", F.pandas_udf(hashed, "long")(F.col(text)))
 
 

@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topoprofile.llm.files import small_batches
 from topoprofile.llm.joins import join_lookup
 from topoprofile.runtime import materialize
 
@@ -352,6 +353,7 @@ def _search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def repeated_spans(docs: DataFrame, strings: int = STRINGS) -> DataFrame:
     """``tid, spans``: for each text id with repeats its merged byte intervals (first, stop), in order."""
+    small_batches(docs.sparkSession)
     texts = docs.select(_text_id().alias("tid"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
     runs = materialize(texts.select("tid", F.col("text").cast("binary").alias("text")).mapInArrow(_find_runs, _RUNS), "runs")
     keys = runs.groupBy("key").agg(F.sum(F.col("again") + 1).alias("places")).where("places > 1").select("key")

@@ -15,7 +15,7 @@ each), since it serves short documents; all documents are encoded and written.
 
 Ids come from the tokenizer for each distinct space-free run of a batch. No token
 crosses the six ASCII white-space characters, so a text's ids are the ids of its
-runs in order, and a worker keeps those of up to ``CACHE`` runs.
+runs in order, and a worker keeps those of the last ``CACHE`` to twice as many distinct runs.
 
 Defined cases. Null text: empty, only the end id. Repeated rows are written each.
 Texts of any length are encoded whole. An empty table gives an empty result.
@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topoprofile.llm.files import each_in_a_task, opened, partition_id, written
+from topoprofile.llm.files import each_in_a_task, opened, partition_id, small_batches, written
 from topoprofile.runtime import materialize, new_path
 
 MAGIC = b"TOKPACK1"
@@ -46,9 +46,9 @@ LEVEL = 3
 SAMPLE_DOCS = 2_000
 SAMPLE_CHARS = 4_096
 DICTIONARY_BYTES = 65_536
-CACHE = 400_000
+CACHE = 150_000
 #: Characters whose distinct runs are encoded together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 _workers: dict = {}
 
@@ -62,6 +62,7 @@ class RunEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
     def of_worker(cls, tokenizer_path: str) -> RunEncoder:
@@ -73,8 +74,11 @@ class RunEncoder:
         runs = [t.encode("utf-8").split() for t in texts]
         new = set().union(*runs).difference(self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
+            self.older, self.known = self.known, {}  # what is used again moves up
             new = set().union(*runs)
+        if self.older:
+            self.known |= {run: self.older[run] for run in new if run in self.older}
+            new.difference_update(self.known)
         new = list(new)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
@@ -123,6 +127,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, dictionary: bytes, f
     Texts cross the network once, dealt by ranges of the id; each task encodes
     and writes its range as a stream.
     """
+    small_batches(docs.sparkSession)
     dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first())
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topoprofile.llm.files import each_in_a_task, opened, partition_id, written
+from topoprofile.llm.files import each_in_a_task, opened, partition_id, small_batches, written
 from topoprofile.llm.joins import join_lookup
 from topoprofile.runtime import materialize, new_path
 
@@ -157,6 +157,8 @@ def read_record(bundle: str, frame: int, offset: int) -> tuple[dict[str, str], b
 def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Write a bundle per task below ``folder``; the index, written and read back."""
 
+    small_batches(pages.sparkSession)
+
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path = f"{folder}/{partition_id():06d}.warc.zst"
         first = next((f for f in frames if len(f)), None)
