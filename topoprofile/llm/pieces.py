@@ -33,6 +33,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -259,8 +260,6 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", digest: bool =
 
 def decoded(frame: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
     """``frame`` with ``decoded``, the text of each row's ids."""
-    import pandas as pd
-
     def run(rows: pd.Series) -> pd.Series:
         model = PieceModel.of_worker(model_path)
         return pd.Series([None if r is None else model.decode(r.tolist()) for r in rows], dtype=object)
