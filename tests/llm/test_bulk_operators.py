@@ -16,7 +16,7 @@ import corpus_pipeline
 from topoprofile.llm import ann, joins, pieces, simhash, suffix_dedup, token_files, warc
 
 DOCS = "doc_id long, text string"
-ODD = [None, "", " ", "a", "A b\x1cc\x85d  e\n'll I'M don't <|endoftext|> x<|startoftext|>y", "É́ ﬁ Σς ΑΣ", "漢字 テスト　全角", "x" * 70_000]
+ODD = [None, "<|STARTOFTEXT|> AB\x01CD \x01 x", "", " ", "a", "A b\x1cc\x85d  e\n'll I'M don't <|endoftext|> x<|startoftext|>y", "É́ ﬁ Σς ΑΣ", "漢字 テスト　全角", "x" * 70_000]
 
 
 def write(frame, folder, name):
@@ -272,7 +272,7 @@ def test_pieces_equal_the_library(spark, tmp_path):
         assert r.text_sha256 == hashlib.sha256(library.decode(expected).encode()).hexdigest()
     ids = pieces.encode(table.where("doc_id >= 800"), pieces.default_model())
     assert {r.doc_id for r in ids.where("ids IS NULL").collect()} == {800}
-    assert {r.doc_id: r.decoded for r in pieces.decoded(ids, pieces.default_model()).collect()}[804] == ODD[4]
+    assert {r.doc_id: r.decoded for r in pieces.decoded(ids, pieces.default_model()).collect()}[805] == ODD[5]
 
 
 def test_unigram_search_is_best():

@@ -46,7 +46,11 @@ LEVEL = 3
 SAMPLE_DOCS = 2_000
 SAMPLE_CHARS = 4_096
 DICTIONARY_BYTES = 65_536
-CACHE = 150_000
+CACHE = 350_000
+#: Runs of one call to the tokenizer, and the run put between them.
+JOINED = 1_000
+SEPARATOR = b"\x01"
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Characters whose distinct runs are encoded together.
 BATCH_CHARS = 2_000_000
 
@@ -63,6 +67,10 @@ class RunEncoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        lone = ids(SEPARATOR.decode())
+        self.separator = lone[0] if len(lone) == 1 and ids(f"a {SEPARATOR.decode()} b") == ids("a") + lone + ids("b") else None
+        self.lowers = ids("AZ") == ids("az")
 
     @classmethod
     def of_worker(cls, tokenizer_path: str) -> RunEncoder:
@@ -71,7 +79,7 @@ class RunEncoder:
         return _workers[tokenizer_path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [t.encode("utf-8").split() for t in texts]
+        runs = [self._runs(t) for t in texts]
         new = set().union(*runs).difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.older, self.known = self.known, {}  # what is used again moves up
@@ -79,15 +87,32 @@ class RunEncoder:
         if self.older:
             self.known |= {run: self.older[run] for run in new if run in self.older}
             new.difference_update(self.known)
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for run, e in zip(part, self.tokenizer.encode_batch([r.decode("utf-8") for r in part], add_special_tokens=False), strict=True):
-                self.known[run] = np.array(e.ids, self.kind).tobytes()
+        self._learn(list(new))
         ids = self.known.__getitem__
         end = np.array([END_ID], self.kind).tobytes()
         return [b"".join(map(ids, words)) + end for words in runs]
 
+    def _runs(self, text: str) -> list[bytes]:
+        """The space-free runs; in lower case where the tokenizer has it so and no special token could come to be."""
+        raw = text.encode("utf-8")
+        return (raw.translate(_LOWER) if self.lowers and b"<|" not in raw else raw).split()
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of unknown runs: many in one call, with a separator run between them that has an id of its own."""
+        alone = [run for run in new if self.separator is None or SEPARATOR in run]
+        for run in alone:
+            self.known[run] = np.array(self.tokenizer.encode(run.decode("utf-8"), add_special_tokens=False).ids, self.kind).tobytes()
+        many = [run for run in new if self.separator is not None and SEPARATOR not in run]
+        for at in range(0, len(many), JOINED):
+            part = many[at : at + JOINED]
+            text = (b" " + SEPARATOR + b" ").join(part).decode("utf-8")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.flatnonzero(ids == self.separator)
+            raw, width = ids.tobytes(), self.kind.itemsize
+            starts, stops = np.r_[0, cuts + 1] * width, np.r_[cuts, len(ids)] * width
+            for run, a, b in zip(part, starts.tolist(), stops.tolist(), strict=True):
+                self.known[run] = raw[a:b]
+
 
 def _in_batches(texts: list[str]) -> Iterator[slice]:
     start = chars = 0
