@@ -46,7 +46,7 @@ LEVEL = 3
 SAMPLE_DOCS = 2_000
 SAMPLE_CHARS = 4_096
 DICTIONARY_BYTES = 65_536
-CACHE = 350_000
+CACHE = 800_000
 #: Runs of one call to the tokenizer, and the run put between them.
 JOINED = 1_000
 SEPARATOR = b"\x01"
