@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ SAMPLE_CHARS = 4_096
 DICTIONARY_BYTES = 65_536
 CACHE = 800_000
 #: Runs of one call to the tokenizer, and the run put between them.
-JOINED = 1_000
+JOINED = 200
 SEPARATOR = b"\x01"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Characters whose distinct runs are encoded together.
@@ -71,6 +72,10 @@ class RunEncoder:
         lone = ids(SEPARATOR.decode())
         self.separator = lone[0] if len(lone) == 1 and ids(f"a {SEPARATOR.decode()} b") == ids("a") + lone + ids("b") else None
         self.lowers = ids("AZ") == ids("az")
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        probes = [letters, letters[::-1], *letters, "the", "internationalization", "qzxjq"]
+        self.plain = self.lowers and all([t.id for t in self.tokenizer.model.tokenize(p)] == ids(p) for p in probes)
+        self.code = "H" if self.kind.itemsize == 2 else "I"
 
     @classmethod
     def of_worker(cls, tokenizer_path: str) -> RunEncoder:
@@ -103,6 +108,12 @@ class RunEncoder:
         for run in alone:
             self.known[run] = np.array(self.tokenizer.encode(run.decode("utf-8"), add_special_tokens=False).ids, self.kind).tobytes()
         many = [run for run in new if self.separator is not None and SEPARATOR not in run]
+        if self.plain:  # a run of ASCII letters is one word as it stands: only the model is needed
+            # (with "<|" in a text its letters may be upper case: those take the long way)
+            words, tokenize = [run for run in many if run.isalpha() and run.islower()], self.tokenizer.model.tokenize
+            many = [run for run in many if not (run.isalpha() and run.islower())]
+            for run in words:
+                self.known[run] = array(self.code, [t.id for t in tokenize(run.decode("ascii"))]).tobytes()
         for at in range(0, len(many), JOINED):
             part = many[at : at + JOINED]
             text = (b" " + SEPARATOR + b" ").join(part).decode("utf-8")
