@@ -63,19 +63,17 @@ def prefix_target_examples(turns: DataFrame) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
     rows = rows.select("conv_id", F.struct("turn", "role", "text", _format_turn(F.col("role"), F.col("text")).alias("piece")).alias("t"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    # ends[i]: code points of the formatted conversation up to and with turn i.
-    ends = F.expr("""transform(
-        aggregate(ts, named_struct('at', 0L, 'ends', cast(array() AS array<bigint>)),
-                  (a, t) -> named_struct('at', a.at + length(t.piece),
-                                         'ends', array_append(a.ends, a.at + length(t.piece)))).ends, e -> e)""")
-    whole = grouped.select("conv_id", "ts", F.expr("array_join(transform(ts, t -> t.piece), '')").alias("whole"), ends.alias("ends"))
-    cut = F.expr("""filter(transform(ts, (t, i) -> named_struct(
-        'end', ends[i], 'target', t.role = 'assistant',
-        'start', ends[i] - length(t.piece) + 5, 'length', length(t.piece) - 9,
-        'closing', i = size(ts) - 1)), x -> x.target OR x.closing)""")
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"), F.count("*").alias("n_rows"))
+    # one fold over the turns: where each example ends, and its reply's body
+    cuts = F.expr("""aggregate(ts, named_struct('at', 0L, 'i', 0L, 'cuts', cast(array() AS array<struct<end:bigint,target:boolean,start:bigint,length:bigint>>)),
+        (a, t) -> named_struct('at', a.at + length(t.piece), 'i', a.i + 1, 'cuts',
+            CASE WHEN t.role = 'assistant' OR a.i = n_rows - 1
+                 THEN array_append(a.cuts, named_struct('end', a.at + length(t.piece), 'target', t.role = 'assistant',
+                                                        'start', a.at + 5, 'length', cast(length(t.piece) - 9 AS bigint)))
+                 ELSE a.cuts END)).cuts""")
+    whole = grouped.select("conv_id", F.expr("array_join(transform(ts, t -> t.piece), '')").alias("whole"), cuts.alias("cuts"))
     # posexplode keeps the order of the turns
-    examples = whole.select("conv_id", "whole", cut.alias("cuts")).select("conv_id", "whole", F.size("cuts").alias("n"), F.posexplode("cuts").alias("p", "c"))
+    examples = whole.select("conv_id", "whole", F.size("cuts").alias("n"), F.posexplode("cuts").alias("p", "c"))
     return examples.select(
         "conv_id",
         (F.col("p") + 1).cast("long").alias("example"),
@@ -94,30 +92,27 @@ def read_back(examples: DataFrame) -> DataFrame:
     span. A wrong span or escape therefore shows in the digests.
     """
     loss = F.expr("substring(formatted, int(loss_start) + 1, int(loss_length))")
-    heads = F.expr(f"regexp_extract_all(formatted, r'{TURN}', 1)")
-    marks = F.expr(f"regexp_extract_all(formatted, r'{TURN}', 2)")
-    bodies = F.expr(f"regexp_extract_all(formatted, r'{TURN}', 3)")
-    # an unknown role has a header; an empty one would be lost, so the header's presence is looked at too
-    whole = F.expr(f"regexp_extract_all(formatted, r'{TURN}', 0)")
     slim = examples.select(
         "conv_id",
         "example",
         unescape(loss).alias("reply"),
         F.length("formatted").cast("long").alias("chars"),
-        F.when(F.col("is_last"), F.arrays_zip(whole.alias("w"), heads.alias("h"), marks.alias("m"), bodies.alias("b"))).alias("parsed"),
+        F.when(F.col("is_last"), F.col("formatted")).alias("last"),
     )
-    role = F.expr(r"""transform(parsed, p -> concat(
-        CASE WHEN p.w LIKE '[ROLE]%' THEN regexp_replace(p.h, r'\\(\\?)', '$1')
-             WHEN p.m = 'SYS' THEN 'system' WHEN p.m = 'OUT' THEN 'assistant' ELSE 'user' END,
-        '\n', regexp_replace(p.b, r'\\(\\?)', '$1'), '\n'))""")
-    per_example = slim.select("conv_id", "example", "reply", "chars", F.size("parsed").alias("n"), F.array_join(role, "").alias("turns"))
-    by_conv = per_example.groupBy("conv_id").agg(
-        F.max("n").cast("long").alias("n_turns"),
-        F.max("turns").alias("turns"),
+    by_conv = slim.groupBy("conv_id").agg(
+        F.max("last").alias("last"),
         F.array_join(F.expr("transform(sort_array(collect_list(struct(example, reply))), x -> x.reply)"), "").alias("loss"),
         F.sum("chars").alias("formatted_chars"),
         F.count("*").alias("n_examples"),
     )
+    # each turn is cut out once, then parsed by itself
+    turn = lambda k: f"regexp_extract(p, r'{TURN}', {k})"
+    role = F.expr(f"""transform(regexp_extract_all(last, r'{TURN}', 0), p -> concat(
+        CASE WHEN startswith(p, '[ROLE]') THEN regexp_replace({turn(1)}, r'\\\\(\\\\?)', '$1')
+             WHEN startswith(p, '[SYS]') THEN 'system' WHEN startswith(p, '[OUT]') THEN 'assistant' ELSE 'user' END,
+        '\n', regexp_replace({turn(3)}, r'\\\\(\\\\?)', '$1'), '\n'))""")
+    by_conv = by_conv.select("*", role.alias("parsed"))
+    by_conv = by_conv.select("conv_id", F.size("parsed").cast("long").alias("n_turns"), F.array_join("parsed", "").alias("turns"), "loss", "formatted_chars", "n_examples")
     return by_conv.select(
         "conv_id",
         "n_turns",
