@@ -37,7 +37,8 @@ SAMPLE = 20_000
 CALIBRATION = 200
 RECALL = 0.95
 BRANCH = 8
-LEAF_ROWS = 400
+#: Leaves for n vectors: LEAVES * n ** 0.25, so that visits, a share of the leaves, grow slowly.
+LEAVES = 4
 BLOCK = 4_096
 SLICE = 2_048
 SEED = 11
@@ -173,7 +174,7 @@ def fit(vectors: DataFrame, rows: int) -> tuple[Tree, np.ndarray]:
     share = min(1.0, SAMPLE / max(rows, 1) * 0.9)
     hashed = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
     sample = vectors.where(hashed).limit(SAMPLE).toPandas()
-    leaf = max(8, round(LEAF_ROWS * len(sample) / max(rows, 1)))
+    leaf = max(8, round(len(sample) / (LEAVES * max(rows, 1) ** 0.25)))
     return Tree(_matrix(sample["embedding"]), leaf), sample["vec_id"].to_numpy()
 
 
