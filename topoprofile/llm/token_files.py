@@ -151,6 +151,8 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
 
 def _codec(dictionary: bytes):
     shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if shared:
+        shared.precompute_compress(level=LEVEL)  # digested once, not for every document
     return (
         zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True),
         zstandard.ZstdDecompressor(dict_data=shared),
