@@ -17,9 +17,10 @@ pair of slices becomes a task of its own, so no task grows with a bucket. A task
 hands on spanning forests of its links, never all pairs; components follow from
 those by star contraction.
 
-``keep_one`` (the corpus filter) takes five-word shingles, a budget of eight bits
-and then keeps only links whose texts share 0.8 of their shingles, so chance
-neighbours among many fingerprints stay apart.
+``keep_one`` (the corpus filter) takes five-word shingles and a budget of eight
+bits in any of ``SEEDS`` independent fingerprints (texts that share 0.8 of their
+shingles differ in about ten bits of one), and then keeps only links whose texts
+do share 0.8 of their shingles, so chance neighbours stay apart.
 
 Defined cases. Null text: no words. Equal fingerprints link, fingerprint 0 too.
 Null document ids take part, and are named only if a component has no other id
@@ -46,6 +47,8 @@ from topoprofile.runtime import materialize
 SEED = 42
 WIDTH = 4
 BUDGET = 4
+#: Fingerprints of a text in ``keep_one``: of the same shingle hashes, mixed anew for each.
+SEEDS = 4
 #: Fingerprints of a bucket that one task takes.
 BUCKET = 50_000
 #: Rows a task joins at once, and node pairs it holds at once.
@@ -57,20 +60,22 @@ LEAVES = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint_of(text: str | None, width: int = WIDTH) -> int:
-    """The unsigned 64-bit fingerprint of one text."""
+def _shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = (ends[:-width] if width < len(ends) else ends[:0]).tolist()
     starts.insert(0, 0)
-    stops = (ends[width - 1 :] - 1).tolist()
+    stops = (ends[width - 1 :] - 1).tolist() or [len(joined)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(stops))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(stops))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -79,6 +84,21 @@ def fingerprint_of(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(bits).view(">u8")[0])
 
 
+def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Other hashes of the same shingles; seed 0: the hashes themselves."""
+    if not seed:
+        return hashes
+    out = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out = (out ^ out >> np.uint64(shift)) * np.uint64(factor)
+    return out ^ out >> np.uint64(31)
+
+
+def fingerprint_of(text: str | None, width: int = WIDTH) -> int:
+    """The unsigned 64-bit fingerprint of one text."""
+    return _majority(_shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = WIDTH, text: str = "text") -> DataFrame:
     """``docs`` with ``fp``, the fingerprint as a signed long."""
 
@@ -89,6 +109,22 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, text: str = "text") -> Dat
     return docs.withColumn("fp", F.pandas_udf(hashed, "long")(F.col(text)))
 
 
+def several_fingerprints(docs: DataFrame, width: int, seeds: int = SEEDS) -> DataFrame:
+    """``doc_id, _row`` and ``fp``, ``fp1`` ...: a text's fingerprint, and those of its shingles' mixed hashes."""
+    names = ["fp", *(f"fp{k}" for k in range(1, seeds))]
+
+    def hashed(texts: pd.Series) -> pd.DataFrame:
+        out = np.empty((len(texts), seeds), np.uint64)
+        for k, text in enumerate(texts):
+            hashes = _shingle_hashes(text, width)
+            out[k] = [_majority(_mixed(hashes, seed)) for seed in range(seeds)]
+        return pd.DataFrame(out.view(np.int64), columns=names)
+
+    small_batches(docs.sparkSession)
+    made = docs.select("doc_id", "_row", F.pandas_udf(hashed, ", ".join(f"{n} long" for n in names))("text").alias("f"))
+    return made.select("doc_id", "_row", "f.*")
+
+
 def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of ``n`` nodes over the links (i, j)."""
     label = np.arange(n)
@@ -210,38 +246,75 @@ def _permuted(fps: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
+def _restored(bits: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
+    """Fingerprints from their permuted bits."""
+    out, at = np.zeros(len(bits), np.uint64), 0
+    for offset, width in blocks:
+        out |= (bits << np.uint64(at)) >> np.uint64(64 - width) << np.uint64(64 - offset - width)
+        at += width
+    return out
+
+
+def _large_blocks(fps: DataFrame, budget: int, agree: int, bucket: int) -> bool:
+    """Whether some block value alone holds over ``bucket`` fingerprints: else no bucket, which fixes a block at least, does."""
+    count = budget + agree
+    edges = [round(64 * k / count) for k in range(count + 1)]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seed, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                values = (fp << np.uint64(a)) >> np.uint64(64 - b + a)
+                found, n = np.unique((seed.astype(np.uint64) << np.uint64(32)) | values, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["block", "value", "n"])
+
+    counted = fps.mapInArrow(tally, "block int, value long, n long").groupBy("block", "value").agg(F.sum("n").alias("n"))
+    return (counted.agg(F.max("n")).first()[0] or 0) > bucket
+
+
 def hamming_links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET, agree: int = 1, forests: int = 1) -> DataFrame:
-    """``(src, dst)``: linked pairs of the distinct ``fp``, spanning forests of each task's links."""
+    """``seed, src, dst``: linked pairs of the distinct ``fp`` of each ``seed`` (if there is none: 0), spanning forests of each task's links."""
     tables = _tables(budget, agree)
     least = min(w for w, _ in tables)
+    fps = fps.select((F.col("seed") if "seed" in fps.columns else F.lit(0)).cast("int").alias("seed"), "fp")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
+            seed, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             for k, (width, blocks) in enumerate(tables):
                 bits = _permuted(fp, blocks)
-                columns = [np.full(len(fp), k, np.int32), (bits >> np.uint64(64 - width)).astype(np.int32), bits.view(np.int64), fp.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "value", "bits", "fp"])
-
-    dealt = fps.select("fp").mapInArrow(deal, "block int, value int, bits long, fp long")
-    # at most sum(2**width) buckets: a bound that does not grow with the data
-    large = dealt.groupBy("block", "value").count().where(F.col("count") > bucket)
-    large = materialize(large.select("block", "value", F.ceil(F.col("count") / bucket).cast("int").alias("slices")), "buckets")
-    sliced = dealt.join(F.broadcast(large), ["block", "value"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    sliced = sliced.withColumn("slice", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int"))
-    tasks = sliced.withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
-    # slices alone make a task only where there is one slice: each pair of slices joins its own rows too
-    tasks = tasks.where("slices = 1 OR other != slice").withColumn("lo", F.least("slice", "other")).withColumn("hi", F.greatest("slice", "other"))
+                columns = [seed * np.int32(len(tables)) + np.int32(k), (bits >> np.uint64(64 - width)).astype(np.int32), bits.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "value", "bits"])
+
+    dealt = fps.mapInArrow(deal, "block int, value int, bits long")
+    if _large_blocks(fps, budget, agree, bucket):
+        # at most sum(2**width) buckets: a bound that does not grow with the data
+        large = dealt.groupBy("block", "value").count().where(F.col("count") > bucket)
+        large = materialize(large.select("block", "value", F.ceil(F.col("count") / bucket).cast("int").alias("slices")), "buckets")
+        sliced = dealt.join(F.broadcast(large), ["block", "value"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+        sliced = sliced.withColumn("slice", F.pmod(F.xxhash64("bits"), F.col("slices")).cast("int"))
+        tasks = sliced.withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
+        # slices alone make a task only where there is one slice: each pair of slices joins its own rows too
+        tasks = tasks.where("slices = 1 OR other != slice").withColumn("lo", F.least("slice", "other")).withColumn("hi", F.greatest("slice", "other"))
+    else:
+        tasks = dealt.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0))
     task = F.expr("(cast(block AS bigint) << 56) | (cast(value AS bigint) << 32) | (cast(lo AS bigint) << 16) | hi")
-    dealt = tasks.select(task.alias("task"), "bits", "fp").repartition("task")
+    dealt = tasks.select(task.alias("task"), "bits").repartition("task")
     dealt = dealt.sortWithinPartitions("task", F.expr("bits ^ -9223372036854775808L"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(task, bits, fp):
+        def linked(task, bits):
             i, j = trie_links(task, bits.view(np.uint64), budget, least, forests)
-            return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], names=["src", "dst"])
-
-        held = [np.empty(0, np.int64)] * 3
+            block = (task[i].view(np.uint64) >> np.uint64(56)).astype(np.int64)
+            src, dst = np.empty(len(i), np.uint64), np.empty(len(i), np.uint64)
+            for k in np.unique(block).tolist():
+                mine, blocks = block == k, tables[k % len(tables)][1]
+                src[mine] = _restored(bits[i[mine]].view(np.uint64), blocks)
+                dst[mine] = _restored(bits[j[mine]].view(np.uint64), blocks)
+            seed = (block // len(tables)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(seed), pa.array(src.view(np.int64)), pa.array(dst.view(np.int64))], names=["seed", "src", "dst"])
+
+        held = [np.empty(0, np.int64)] * 2
         for batch in batches:
             held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
             if len(held[0]) >= ROWS_AT_ONCE and (cut := int(np.searchsorted(held[0], held[0][-1]))):  # whole tasks only
@@ -249,7 +322,19 @@ def hamming_links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET, ag
                 held = [h[cut:] for h in held]
         yield linked(*held)
 
-    return dealt.mapInArrow(join, "src long, dst long")
+    return dealt.mapInArrow(join, "seed int, src long, dst long")
+
+
+def links_of_seeds(classes: DataFrame, budget: int, seeds: int = SEEDS) -> DataFrame:
+    """``(src, dst)``, each pair once: ``fp`` of classes that link in any of their ``seeds`` fingerprints."""
+    long = classes.select("fp", F.posexplode(F.array("fp", *(f"fp{k}" for k in range(1, seeds)))).alias("seed", "own"))
+    named = materialize(long.groupBy("seed", "own").agg(F.min("fp").alias("to"), F.count("*").alias("n")), "named")
+    equal = long.join(named.where("n > 1").select("seed", "own", "to"), ["seed", "own"]).where("fp != to")
+    found = hamming_links(named.select("seed", F.col("own").alias("fp")), budget, agree=2, forests=3).distinct()
+    for end in ("src", "dst"):
+        found = found.join(named.select("seed", F.col("own").alias(end), F.col("to").alias(f"{end}_to")), ["seed", end])
+    pairs = found.select(F.col("src_to").alias("a"), F.col("dst_to").alias("b")).unionByName(equal.select(F.col("fp").alias("a"), F.col("to").alias("b")))
+    return pairs.where("a != b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
 def components_of(docs_fp: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
@@ -291,12 +376,13 @@ def keep_one(docs: DataFrame, width: int = 5, budget: int = 8, least: float = 0.
     """``docs`` without all but one row of each component: the one with the smallest id (of several, the smallest text hash)."""
     row = F.xxhash64("doc_id", F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
     keyed = docs.withColumn("_row", row)
-    seen = materialize(fingerprints(keyed.select("doc_id", "text", "_row"), width).select("doc_id", "fp", "_row"), "fingerprints")
-    classes = seen.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("count"), F.min("_row").alias("one"))
+    seen = materialize(several_fingerprints(keyed.select("doc_id", "text", "_row"), width), "fingerprints")
+    others = (F.min_by(f"fp{k}", "_row").alias(f"fp{k}") for k in range(1, SEEDS))
+    classes = seen.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("count"), F.min("_row").alias("one"), *others)
     classes = materialize(classes, "classes")
-    links = materialize(hamming_links(classes.select("fp"), budget, agree=2, forests=3), "links")
+    links = materialize(links_of_seeds(classes, budget), "links")
     links = materialize(similar_links(keyed, links, classes, width, least), "similar")
-    joined = components_of(seen, links, classes.select("fp", "least", "count"))
+    joined = components_of(seen.select("doc_id", "fp", "_row"), links, classes.select("fp", "least", "count"))
     # the rows to drop are the fewer: all but each component's first, and repeats of that
     first = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_row").alias("_row"))
     kept = materialize(first.select("_row"), "kept")
@@ -315,5 +401,5 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     seen = materialize(fingerprints(docs).select("doc_id", "fp"), "fingerprints")
     classes = materialize(seen.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("count")), "classes")
-    joined = components_of(seen, materialize(hamming_links(classes), "links"), classes)
+    joined = components_of(seen, materialize(hamming_links(classes).select("src", "dst"), "links"), classes)
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
