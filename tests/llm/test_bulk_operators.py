@@ -137,6 +137,45 @@ def test_keep_one(spark):
     assert simhash.keep_one(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def templates(n, pairs, repeats):
+    """Texts near in Hamming distance (a repeated template outweighs the rest) that share half their shingles; ``pairs`` of them share more."""
+    head = [f"t{j}" for j in range(60)] * repeats
+    own = [[f"o{k}x{j}" for j in range(50)] for k in range(n)]
+    for k in range(pairs):
+        own[n - 1 - k] = [*own[k][:-8], *(f"e{k}x{j}" for j in range(8))]
+    return [" ".join(head + words) for words in own]
+
+
+def shares(a, b, width=5):
+    a, b = (set(zip(*(t.split()[k:] for k in range(width)), strict=False)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_true_pairs_in_a_template_group(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHINGLES", 40_000)
+    n, texts = 1200, templates(1200, 100, 3)
+    fps = np.array([[simhash._majority(simhash._mixed(simhash._shingle_hashes(t, 5), s)) for s in range(4)] for t in texts], np.uint64)
+    single = set(np.unique(fps[:, 0], return_index=True)[1].tolist())  # one text of each fingerprint
+    pairs = [(k, n - 1 - k) for k in range(100) if {k, n - 1 - k} <= single and np.bitwise_count(fps[k] ^ fps[n - 1 - k]).min() <= 8]
+    assert shares(texts[0], texts[1]) < 0.8 <= min(shares(texts[a], texts[b]) for a, b in pairs) and len(pairs) > 90
+    kept = simhash.keep_one(spark.createDataFrame([(k, texts[k]) for k in single], DOCS))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(single - {b for _, b in pairs})
+
+
+def test_similar_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**62, 40)
+    sets = [np.unique(np.r_[base[rng.random(40) < 0.95], rng.integers(0, 60, 3)]) for _ in range(150)] + [base[:0], base[:0]]
+    fps = rng.integers(0, 2, (len(sets), 2), dtype=np.uint64) * np.uint64(0xFFFF)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]).min(axis=2) <= 8
+    shared = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    sizes = np.array([len(s) for s in sets])
+    links = near & (shared >= 0.8 * (sizes[:, None] + sizes[None, :] - shared))
+    got = simhash._similar_pairs(fps, sizes, np.concatenate(sets), 8, 0.8)
+    assert links[got].all()
+    assert np.array_equal(simhash._stars(len(sets), *got), simhash._stars(len(sets), *np.nonzero(links)))
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 

@@ -19,8 +19,10 @@ those by star contraction.
 
 ``keep_one`` (the corpus filter) takes five-word shingles and a budget of eight
 bits in any of ``SEEDS`` independent fingerprints (texts that share 0.8 of their
-shingles differ in about ten bits of one), and then keeps only links whose texts
-do share 0.8 of their shingles, so chance neighbours stay apart.
+shingles differ in about ten bits of one), and keeps only links whose texts do
+share 0.8 of their shingles, so chance neighbours stay apart. Forests only tell
+which texts may be linked at all: within those groups every pair is tested, in
+tasks of two slices, and a task's forest is of links that passed.
 
 Defined cases. Null text: no words. Equal fingerprints link, fingerprint 0 too.
 Null document ids take part, and are named only if a component has no other id
@@ -56,6 +58,9 @@ ROWS_AT_ONCE = 100_000
 PAIRS_AT_ONCE = 150_000
 #: A node pair with at most so many leaf pairs is compared leaf by leaf.
 LEAVES = 64
+#: Shingles of a group that one slice takes in ``keep_one``; those of over 1/COMMON of a task's texts are compared as bits.
+SHINGLES = 500_000
+COMMON = 32
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -325,16 +330,19 @@ def hamming_links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET, ag
     return dealt.mapInArrow(join, "seed int, src long, dst long")
 
 
-def links_of_seeds(classes: DataFrame, budget: int, seeds: int = SEEDS) -> DataFrame:
-    """``(src, dst)``, each pair once: ``fp`` of classes that link in any of their ``seeds`` fingerprints."""
-    long = classes.select("fp", F.posexplode(F.array("fp", *(f"fp{k}" for k in range(1, seeds)))).alias("seed", "own"))
-    named = materialize(long.groupBy("seed", "own").agg(F.min("fp").alias("to"), F.count("*").alias("n")), "named")
-    equal = long.join(named.where("n > 1").select("seed", "own", "to"), ["seed", "own"]).where("fp != to")
-    found = hamming_links(named.select("seed", F.col("own").alias("fp")), budget, agree=2, forests=3).distinct()
-    for end in ("src", "dst"):
-        found = found.join(named.select("seed", F.col("own").alias(end), F.col("to").alias(f"{end}_to")), ["seed", end])
-    pairs = found.select(F.col("src_to").alias("a"), F.col("dst_to").alias("b")).unionByName(equal.select(F.col("fp").alias("a"), F.col("to").alias("b")))
-    return pairs.where("a != b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+def candidate_groups(classes: DataFrame, budget: int, seeds: int = SEEDS) -> DataFrame:
+    """``(id, component)`` of the classes (``id, fp, fp1`` ...) with another one within ``budget`` bits in any fingerprint.
+
+    Fingerprints and ids are nodes of one graph, so equal numbers may only make a group larger.
+    """
+    own = F.posexplode(F.array("fp", *(f"fp{k}" for k in range(1, seeds)))).alias("seed", "own")
+    long = materialize(classes.select("id", own), "long")
+    named = materialize(long.groupBy("seed", "own").agg(F.count("*").alias("n")), "named")
+    found = materialize(hamming_links(named.select("seed", F.col("own").alias("fp")), budget, agree=2).select("src", "dst").distinct(), "found")
+    linked = found.select(F.col("src").alias("own")).unionByName(found.select(F.col("dst").alias("own")))
+    linked = linked.unionByName(named.where("n > 1").select("own")).distinct()
+    members = long.join(linked, "own").select(F.col("id").alias("src"), F.col("own").alias("dst"))
+    return connected_components(found.unionByName(members)).join(classes.select("id"), "id")
 
 
 def components_of(docs_fp: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
@@ -355,21 +363,106 @@ def _shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.fromiter(found, np.uint64, len(found)).view(np.int64)
 
 
-def similar_links(docs: DataFrame, links: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
-    """The links whose fingerprints' documents (``classes.one``, a ``_row`` of ``docs``) share ``least`` of their shingles."""
+def _similar_pairs(fps: np.ndarray, sizes: np.ndarray, values: np.ndarray, budget: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of rows that are near in some column of ``fps`` and share ``least`` of their shingles.
+
+    ``values`` are the rows' shingles, one row's after the other's. Those of many
+    rows are bits, compared at once; those of few are looked up by their rows.
+    """
+    n = len(sizes)
+    _, codes, often = np.unique(values, return_inverse=True, return_counts=True)
+    rows, often = np.repeat(np.arange(n), sizes), often[codes]
+    many = (often > 1) & (often * COMMON > n)
+    few = (often > 1) & ~many
+    _, places = np.unique(codes[many], return_inverse=True)
+    table = np.zeros((n, -(-(int(places.max(initial=-1)) + 1) // 64) * 64), bool)
+    table[rows[many], places] = True
+    table = np.packbits(table, axis=1).view(np.uint64)
+    order = np.argsort(codes[few], kind="stable")
+    by_code, codes = rows[few][order], codes[few]
+    first, last = np.searchsorted(codes[order], codes), np.searchsorted(codes[order], codes, "right")
+    own = np.searchsorted(rows[few], np.arange(n + 1))
+    label, links = np.arange(n), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for i in range(n - 1):
+        small, large = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
+        near = (label[i + 1 :] != label[i]) & (small >= least * large)
+        j = i + 1 + np.flatnonzero(near)
+        j = j[(np.bitwise_count(fps[j] ^ fps[i]) <= budget).any(axis=1)]
+        if not len(j):
+            continue
+        shared = np.bitwise_count(table[j] & table[i]).sum(axis=1, dtype=np.int64)
+        if own[i] < own[i + 1]:
+            ranges = zip(first[own[i] : own[i + 1]].tolist(), last[own[i] : own[i + 1]].tolist(), strict=True)
+            shared += np.bincount(np.concatenate([by_code[a:b] for a, b in ranges]), minlength=n)[j]
+        j = j[shared >= least * (sizes[i] + sizes[j] - shared)]
+        if not len(j):
+            continue
+        joined, at = np.unique(label[j], return_index=True)
+        links.append((np.full(len(at), i), j[at]))
+        joined = np.r_[joined, label[i]]
+        label[np.isin(label, joined)] = joined.min()
+    i, j = (np.concatenate(x) for x in zip(*links, strict=True))
+    return i, j
+
+
+def similar_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, width: int, budget: int, least: float) -> DataFrame:
+    """``(src, dst)``: spanning forests of the classes' links, by their documents (``classes.one``, a ``_row`` of ``docs``).
+
+    Every pair of a group is tested, so no link depends on another. Groups of
+    over ``SHINGLES`` are cut into slices, and a task takes a pair of slices.
+    """
+    names = ["fp", *(f"fp{k}" for k in range(1, SEEDS))]
+    shingles = SHINGLES
 
     def shingled(texts: pd.Series) -> pd.Series:
         return pd.Series([_shingle_set(t, width) for t in texts])
 
-    ends = links.select(F.col("src").alias("fp")).unionByName(links.select(F.col("dst").alias("fp"))).distinct()
-    wanted = materialize(classes.join(ends, "fp").select("fp", F.col("one").alias("_row")), "linked")
+    wanted = materialize(groups.join(classes, "id").select("id", "component", *names, F.col("one").alias("_row")), "linked")
     wanted = F.broadcast(wanted) if wanted.count() <= 10 * BROADCAST_ROWS else wanted
-    sets = docs.select("_row", "text").join(wanted, "_row").select("fp", F.pandas_udf(shingled, "array<long>")("text").alias("set"))
-    sets = materialize(sets.dropDuplicates(["fp"]), "shingles")
-    left = links.join(sets.select(F.col("fp").alias("src"), F.col("set").alias("a")), "src")
-    both = left.join(sets.select(F.col("fp").alias("dst"), F.col("set").alias("b")), "dst")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= F.lit(least) * (F.size("a") + F.size("b") - shared)).select("src", "dst")
+    sets = docs.select("_row", "text").join(wanted, "_row").select("id", "component", *names, F.pandas_udf(shingled, "array<long>")("text").alias("set"))
+    sets = materialize(sets.dropDuplicates(["id"]), "shingles")
+    # fewer than one for each so many shingles of the corpus
+    large = sets.groupBy("component").agg(F.sum(F.size("set")).alias("n")).where(F.col("n") > shingles)
+    large = materialize(large.select("component", F.ceil(F.col("n") / shingles).cast("int").alias("slices")), "groups")
+    sliced = sets.join(F.broadcast(large), "component", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    sliced = sliced.withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    tasks = sliced.withColumn("other", F.explode(F.expr("sequence(0, slices - 1)"))).where("slices = 1 OR other != slice")
+    tasks = tasks.select("component", F.least("slice", "other").alias("lo"), F.greatest("slice", "other").alias("hi"), "id", *names, "set")
+    dealt = tasks.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+
+    def verified(rows: pa.Table, starts: list[int]) -> pa.RecordBatch:
+        ids, lists = rows["id"].to_numpy(), rows["set"].combine_chunks()
+        fps = np.stack([rows[c].to_numpy() for c in names], axis=1).view(np.uint64)
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
+            if b - a > 1:
+                i, j = _similar_pairs(fps[a:b], np.diff(ends[a : b + 1]).astype(np.int64), values[ends[a] : ends[b]], budget, least)
+                src.append(ids[a + i])
+                dst.append(ids[a + j])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
+
+    def starts_of(rows: pa.Table) -> list[int]:
+        keys = np.stack([rows[c].to_numpy() for c in ("component", "lo", "hi")], axis=1)
+        return [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= 8 * shingles:
+                rows = pa.Table.from_batches(held)
+                starts = starts_of(rows)
+                if cut := starts[-1]:  # whole tasks only
+                    yield verified(rows.slice(0, cut), starts[:-1])
+                    held = rows.slice(cut).combine_chunks().to_batches()
+                size = 0
+        if held and (rows := pa.Table.from_batches(held)).num_rows:
+            yield verified(rows, starts_of(rows))
+
+    return dealt.mapInArrow(verify, "src long, dst long")
 
 
 def keep_one(docs: DataFrame, width: int = 5, budget: int = 8, least: float = 0.8) -> DataFrame:
@@ -380,8 +473,9 @@ def keep_one(docs: DataFrame, width: int = 5, budget: int = 8, least: float = 0.
     others = (F.min_by(f"fp{k}", "_row").alias(f"fp{k}") for k in range(1, SEEDS))
     classes = seen.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("count"), F.min("_row").alias("one"), *others)
     classes = materialize(classes, "classes")
-    links = materialize(links_of_seeds(classes, budget), "links")
-    links = materialize(similar_links(keyed, links, classes, width, least), "similar")
+    named = classes.withColumn("id", F.col("fp"))
+    groups = materialize(candidate_groups(named, budget), "groups")
+    links = materialize(similar_links(keyed, groups, named, width, budget, least), "similar")
     joined = components_of(seen.select("doc_id", "fp", "_row"), links, classes.select("fp", "least", "count"))
     # the rows to drop are the fewer: all but each component's first, and repeats of that
     first = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_row").alias("_row"))
