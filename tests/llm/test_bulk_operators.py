@@ -137,13 +137,13 @@ def test_keep_one(spark):
     assert simhash.keep_one(spark.createDataFrame([], DOCS)).collect() == []
 
 
-def templates(n, pairs, repeats):
+def templates(n, pairs, repeats, words=60):
     """Texts near in Hamming distance (a repeated template outweighs the rest) that share half their shingles; ``pairs`` of them share more."""
-    head = [f"t{j}" for j in range(60)] * repeats
+    head = [f"t{j}" for j in range(words)] * repeats
     own = [[f"o{k}x{j}" for j in range(50)] for k in range(n)]
     for k in range(pairs):
         own[n - 1 - k] = [*own[k][:-8], *(f"e{k}x{j}" for j in range(8))]
-    return [" ".join(head + words) for words in own]
+    return [" ".join(head + o) for o in own]
 
 
 def shares(a, b, width=5):
@@ -162,6 +162,14 @@ def test_true_pairs_in_a_template_group(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(single - {b for _, b in pairs})
 
 
+def test_equal_fingerprints_are_tested_too(spark):
+    texts = templates(8, 1, 200, 61)
+    assert len({fingerprint(t, 5) for t in texts}) == 1 and shares(texts[0], texts[1]) < 0.8 < shares(texts[0], texts[7])
+    rows = [*enumerate(texts), (8, texts[1].upper())]
+    kept = simhash.keep_one(spark.createDataFrame(rows, DOCS))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(7))
+
+
 def test_similar_pairs():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**62, 40)
