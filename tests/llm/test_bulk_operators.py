@@ -162,6 +162,14 @@ def test_true_pairs_in_a_template_group(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(single - {b for _, b in pairs})
 
 
+def test_keep_one_by_component(spark):
+    texts = [" ".join(f"c{k}x{j}" for j in range(60)) for k in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(5, t) for t in texts[4:7]] + [(None, texts[4]), (3, texts[7]), (2, texts[7] + " more"), (None, texts[0])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    expected = [(None, t) for t in texts[:4]] + [(5, t) for t in texts[4:7]] + [(2, texts[7] + " more")]
+    assert Counter(tuple(r) for r in kept) == Counter(expected)
+
+
 def test_equal_fingerprints_are_tested_too(spark):
     texts = templates(8, 1, 200, 61)
     assert len({fingerprint(t, 5) for t in texts}) == 1 and shares(texts[0], texts[1]) < 0.8 < shares(texts[0], texts[7])

@@ -474,19 +474,21 @@ def similar_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, width:
 
 
 def keep_one(docs: DataFrame, width: int = 5, budget: int = 8, least: float = 0.8) -> DataFrame:
-    """``docs`` without all but one row of each component: the one with the smallest id (of several, the smallest text hash)."""
+    """``docs`` without all but one row of each component: the one with the smallest id (of several, the smallest text hash; null ids last)."""
     row = F.xxhash64("doc_id", F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
     keyed = docs.withColumn("_row", row)
     seen = materialize(several_fingerprints(keyed.select("doc_id", "text", "_row"), width), "fingerprints")
     prints = (F.min(c).alias(c) for c in ("fp", *(f"fp{k}" for k in range(1, SEEDS))))  # of one text: all equal
-    classes = seen.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("count"), F.min("_row").alias("one"), *prints)
+    classes = seen.groupBy("id").agg(F.count("*").alias("count"), F.min("_row").alias("one"), *prints)
     classes = materialize(classes, "classes")
     groups = materialize(candidate_groups(classes, budget), "groups")
     links = materialize(similar_links(keyed, groups, classes, width, budget, least), "similar")
-    joined = components_of(seen.select("doc_id", F.col("id").alias("fp"), "_row"), links, classes.select(F.col("id").alias("fp"), "least", "count"))
+    labels = connected_components(links).select("id", "component")
+    joined = join_lookup(seen.select("doc_id", "id", "_row"), labels, "id", classes.select("id", "count"), seen.count())
+    joined = joined.select("_row", "doc_id", F.coalesce("component", "id").alias("root"))
     # the rows to drop are the fewer: all but each component's first, and repeats of that
-    first = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_row").alias("_row"))
-    kept = materialize(first.select("_row"), "kept")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("first")
+    kept = materialize(joined.groupBy("root").agg(first).select("first._row"), "kept")
     dropped = materialize(joined.select("_row").join(kept, "_row", "left_anti").distinct(), "dropped")
     stay = keyed.join(F.broadcast(dropped) if dropped.count() <= 10 * BROADCAST_ROWS else dropped, "_row", "left_anti")
     repeated = seen.groupBy("_row").count().where("count > 1").select("_row")
