@@ -8,9 +8,10 @@ loop weights, s out-strength without loops:
 * directed: internal = l(v) + s(v) + sum of (w(u,v) + l(u)) + T(v),
   external = (s + l)(v) + sum of (s + l)(u) - internal.
 
-All sums are decimal, so the differences are exact. Triangles are listed once,
+All sums are whole numbers in limbs of the weights' common unit
+(``functions.spans``), so the differences are exact. Triangles are listed once,
 each edge pointing from the end of fewer neighbours to the other, which bounds
-the wedges at hubs.
+the wedges at hubs. A vertex without edges has 0 and 0.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topoprofile.functions import exact
+from topoprofile.functions import as_double, carried, limbs_of
 from topoprofile.sources.property_graph import PropertyGraph
 
 
 def triangles(graph: PropertyGraph) -> DataFrame:
     """``a, b, c`` and both weights of each side (``ab``, ``ba``, ...), null where that direction is missing."""
-    plain = graph.edges.where("src != dst").select("src", "dst", exact(F.col("weight")).alias("w"))
+    plain = graph.edges.where("src != dst").select("src", "dst", F.col("weight").alias("w"))
     lo, hi, forward = F.least("src", "dst"), F.greatest("src", "dst"), F.col("src") < F.col("dst")
     pairs = plain.select(lo.alias("lo"), hi.alias("hi"), F.when(forward, F.col("w")).alias("f"), F.when(~forward, F.col("w")).alias("b"))
     pairs = pairs.groupBy("lo", "hi").agg(F.max("f").alias("f"), F.max("b").alias("b")) if graph.directed else pairs.withColumn("b", F.col("f"))
@@ -44,35 +45,46 @@ def triangles(graph: PropertyGraph) -> DataFrame:
 
 def ego_features(graph: PropertyGraph) -> DataFrame:
     """``id, internal_edges, external_edges`` of every vertex."""
-    zero = F.lit(0).cast("decimal(38,12)")
-    w = exact(F.col("weight"))
-    loop = F.when(F.col("src") == F.col("dst"), w).otherwise(zero)
-    plain = F.when(F.col("src") != F.col("dst"), w).otherwise(zero)
-    both = F.array(F.struct(F.col("src").alias("id"), loop.alias("l"), plain.alias("s")), F.struct(F.col("dst").alias("id"), zero.alias("l"), plain.alias("s")))
-    one = F.array(F.struct(F.col("src").alias("id"), loop.alias("l"), plain.alias("s")))
-    own = graph.edges.select(F.inline(one if graph.directed else both)).groupBy("id").agg(F.sum("l").alias("l"), F.sum("s").alias("s"))
+    span = graph.weight_span
+    limbs = range(span.limbs)
+    zero = F.lit(0.0)
+    named = lambda values: [x.alias(f"{n}{j}") for n, v in values.items() for j, x in enumerate(limbs_of(v, span))]
+
+    def summed(rows: DataFrame, names: str) -> DataFrame:
+        """Limb sums by ``id``, carried, so that sums of them stay small too."""
+        sums = rows.groupBy("id").agg(*(F.sum(f"{n}{j}").alias(f"{n}{j}") for n in names for j in limbs))
+        return sums.select("id", *(x.alias(f"{n}{j}") for n in names for j, x in enumerate(carried([F.col(f"{n}{j}") for j in limbs]))))
+
+    loop = F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(zero)
+    plain = F.when(F.col("src") != F.col("dst"), F.col("weight")).otherwise(zero)
+    ends = [F.struct(F.col("src").alias("id"), *named({"l": loop, "s": plain}))]
+    if not graph.directed:
+        ends.append(F.struct(F.col("dst").alias("id"), *named({"l": zero, "s": plain})))
+    own = summed(graph.edges.select(F.inline(F.array(*ends))), "ls")
 
     arcs = graph.adjacency.where("id != neighbor")
-    around = arcs.join(own.select(F.col("id").alias("neighbor"), "l", "s"), "neighbor").groupBy("id").agg(F.sum("l").alias("nl"), F.sum("s").alias("ns"))
+    near = own.select(F.col("id").alias("neighbor"), *(F.col(f"{a}{j}").alias(f"{b}{j}") for a, b in ("lm", "sn") for j in limbs))
+    around = summed(arcs.join(near, "neighbor"), "mn")
 
     t = triangles(graph)
     if graph.directed:
-        side = lambda p, q: F.coalesce(F.col(p), zero) + F.coalesce(F.col(q), zero)
-        corner = lambda v, x, y, p, q: F.struct(F.col(v).alias("id"), F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), side(p, q)).otherwise(zero).alias("t"))
-        corners = [corner("a", "ab", "ac", "bc", "cb"), corner("b", "ba", "bc", "ac", "ca"), corner("c", "ca", "cb", "ab", "ba")]
+        present = lambda x, y: F.col(x).isNotNull() & F.col(y).isNotNull()
+        corner = lambda v, x, y, p: F.struct(F.col(v).alias("id"), *named({"t": F.when(present(x, y), F.coalesce(F.col(p), zero)).otherwise(zero)}))
+        sides = (("a", "ab", "ac", "bc", "cb"), ("b", "ba", "bc", "ac", "ca"), ("c", "ca", "cb", "ab", "ba"))
+        corners = [corner(v, x, y, p) for v, x, y, *both in sides for p in both]
     else:
-        corners = [F.struct(F.col(v).alias("id"), F.col(p).alias("t")) for v, p in (("a", "bc"), ("b", "ac"), ("c", "ab"))]
-    closed = t.select(F.inline(F.array(*corners))).groupBy("id").agg(F.sum("t").alias("t"))
-    parts = [own, around, closed]
+        corners = [F.struct(F.col(v).alias("id"), *named({"t": F.col(p)})) for v, p in (("a", "bc"), ("b", "ac"), ("c", "ab"))]
+    parts = [own, around, summed(t.select(F.inline(F.array(*corners))), "t")]
     if graph.directed:  # edges that come back from an out-neighbour
-        back = graph.edges.where("src != dst").select(F.col("dst").alias("id"), F.col("src").alias("neighbor"), w.alias("w"))
-        parts.append(back.join(arcs.select("id", "neighbor"), ["id", "neighbor"], "left_semi").groupBy("id").agg(F.sum("w").alias("r")))
+        back = graph.edges.where("src != dst").select(F.col("dst").alias("id"), F.col("src").alias("neighbor"), "weight")
+        back = back.join(arcs.select("id", "neighbor"), ["id", "neighbor"], "left_semi")
+        parts.append(summed(back.select("id", *named({"r": F.col("weight")})), "r"))
     joined = reduce(lambda d, p: d.join(p, "id", "left"), parts, graph.nodes())
-    v = {c: F.coalesce(F.col(c), zero) for c in joined.columns if c != "id"}
+    v = lambda n, j: F.coalesce(F.col(f"{n}{j}"), F.lit(0).cast("bigint"))
     if graph.directed:
-        internal = v["l"] + v["s"] + v["r"] + v["nl"] + v["t"]
-        external = v["l"] + v["s"] + v["nl"] + v["ns"] - internal
+        internal = [v("l", j) + v("s", j) + v("r", j) + v("m", j) + v("t", j) for j in limbs]
+        external = [v("n", j) - v("r", j) - v("t", j) for j in limbs]
     else:
-        internal = v["l"] + v["s"] + v["nl"] + v["t"]
-        external = v["ns"] - v["s"] - v["t"] - v["t"]
-    return joined.select("id", internal.cast("double").alias("internal_edges"), external.cast("double").alias("external_edges"))
+        internal = [v("l", j) + v("s", j) + v("m", j) + v("t", j) for j in limbs]
+        external = [v("n", j) - v("s", j) - v("t", j) - v("t", j) for j in limbs]
+    return joined.select("id", as_double(internal, span).alias("internal_edges"), as_double(external, span).alias("external_edges"))

@@ -1,4 +1,9 @@
-"""Degrees and numeric node attributes."""
+"""Degrees and numeric node attributes.
+
+Defined cases. A null or NaN attribute is 0; a column of nulls only is no
+attribute unless it is named in ``include``; a named column that is missing or not
+numeric is 0 throughout. A graph without edges has degree 0 everywhere.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topoprofile.functions import exact
+from topoprofile.functions import as_double, limbs_of
 from topoprofile.sources.property_graph import PropertyGraph
 
 PREFIX = "attribute_"
@@ -28,16 +33,17 @@ class AttributeOptions:
 def degrees(graph: PropertyGraph) -> DataFrame:
     """Weighted degrees of every vertex: ``degree``, or in, out and total. A loop counts at both its ends.
 
-    One exploded pass over the edges and one combined aggregation.
+    Sums are exact (``functions.spans``). One exploded pass over the edges and one
+    combined aggregation; a vertex without edges has degree 0.
     """
+    span = graph.weight_span
     ends = F.expr("inline(array(named_struct('id', src, 'o', weight, 'i', 0.0D), named_struct('id', dst, 'o', 0.0D, 'i', weight)))")
-    total = lambda c: F.sum(exact(F.col(c)))
-    sums = graph.edges.select(ends).groupBy("id").agg(total("i").alias("i"), total("o").alias("o"))
-    if graph.directed:
-        named = {"in_degree": F.col("i"), "out_degree": F.col("o"), "total_degree": F.col("i") + F.col("o")}
-    else:
-        named = {"degree": F.col("i") + F.col("o")}
-    found = sums.select("id", *(c.cast("double").alias(n) for n, c in named.items()))
+    parts = {f"{c}{j}": part for c in "io" for j, part in enumerate(limbs_of(F.col(c), span))}
+    sums = graph.edges.select(ends).groupBy("id").agg(*(F.sum(part).alias(n) for n, part in parts.items()))
+    ins, outs = ([F.col(f"{c}{j}") for j in range(span.limbs)] for c in "io")
+    both = [i + o for i, o in zip(ins, outs, strict=True)]
+    named = {"in_degree": ins, "out_degree": outs, "total_degree": both} if graph.directed else {"degree": both}
+    found = sums.select("id", *(as_double(c, span).alias(n) for n, c in named.items()))
     return graph.nodes().join(found, "id", "left").na.fill(0.0)
 
 

@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topoprofile.functions import SCALE
+from topoprofile.functions import Span, exact_sum, spans
 
-SOURCES = ("dataframe", "parquet", "adjacency_json")
+_sources: dict[str, Callable[..., PropertyGraph]] = {}
+
+
+def register_source(name: str, build: Callable[..., PropertyGraph]) -> None:
+    """Make ``graph_from(name, ...)`` call ``build``, which returns a ``PropertyGraph``: where own formats are added."""
+    if not callable(build):
+        raise TypeError("a source is a function that returns a PropertyGraph")
+    _sources[name] = build
 
 
 def supported_sources() -> list[str]:
-    return list(SOURCES)
+    return list(_sources)
+
+
+def graph_from(name: str, *args, **options) -> PropertyGraph:
+    """A graph from a registered source."""
+    if name not in _sources:
+        raise ValueError(f"unknown source {name!r}; known: {', '.join(_sources)}")
+    graph = _sources[name](*args, **options)
+    if not isinstance(graph, PropertyGraph):
+        raise TypeError(f"source {name!r} returned {type(graph).__name__}, not a PropertyGraph")
+    return graph
 
 
 class PropertyGraph:
@@ -38,26 +56,39 @@ class PropertyGraph:
         vertices: DataFrame | None = None,
         id_col: str = "id",
         on_duplicate: str = "sum",
+        order: str | None = None,
     ) -> PropertyGraph:
-        """``on_duplicate``: parallel edges are summed, the largest is taken (``max``), or they are an ``error``."""
+        """``on_duplicate``: parallel edges are summed, the largest or the ``last`` by the column ``order`` is taken (``max``), or they are an ``error``.
+
+        Weights must be finite. Summing reads the weights once beforehand, for their span.
+        """
         if not isinstance(edges, DataFrame) or not (vertices is None or isinstance(vertices, DataFrame)):
-            raise TypeError(f"a graph is made of DataFrames; supported sources: {', '.join(SOURCES)}")
-        if on_duplicate not in ("sum", "max", "error"):
-            raise ValueError("on_duplicate is 'sum', 'max' or 'error'")
+            raise TypeError(f"a graph is made of DataFrames; supported sources: {', '.join(supported_sources())}")
+        if on_duplicate not in ("sum", "max", "last", "error"):
+            raise ValueError("on_duplicate is 'sum', 'max', 'last' or 'error'")
+        if (on_duplicate == "last") != (order is not None):
+            raise ValueError("'last' needs a column to order by, and only it does")
         kinds = {edges.schema[c].dataType.simpleString() for c in (src, dst)} | ({vertices.schema[id_col].dataType.simpleString()} if vertices is not None else set())
         kind = "string" if kinds == {"string"} else "bigint"
         if kind == "bigint" and not kinds <= {"tinyint", "smallint", "int", "bigint"}:
             raise TypeError(f"node ids must all be whole numbers or all be strings, not {sorted(kinds)}")
         value = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
-        rows = edges.select(F.col(src).cast(kind).alias("src"), F.col(dst).cast(kind).alias("dst"), value.alias("weight"))
+        rank = F.col(order) if order else F.lit(0)
+        rows = edges.select(F.col(src).cast(kind).alias("src"), F.col(dst).cast(kind).alias("dst"), value.alias("weight"), rank.alias("rank"))
         rows = rows.where("src IS NOT NULL AND dst IS NOT NULL")
         if not directed:
-            rows = rows.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
+            rows = rows.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight", "rank")
         if on_duplicate == "error":
             if not rows.groupBy("src", "dst").count().where("count > 1").isEmpty():
                 raise ValueError("parallel edges")
+            rows = rows.drop("rank")
         else:
-            one = F.max("weight") if on_duplicate == "max" else F.sum(F.col("weight").cast(f"decimal(38,{SCALE})")).cast("double")
+            if on_duplicate == "max":
+                one = F.max("weight")
+            elif on_duplicate == "last":  # ties: the larger weight
+                one = F.max_by("weight", F.struct("rank", "weight"))
+            else:
+                one = exact_sum(F.col("weight"), spans(rows, {"weight": F.col("weight")})["weight"]) if weight else F.count("*").cast("double")
             rows = rows.groupBy("src", "dst").agg(one.alias("weight"))
         ends = rows.select(F.col("src").alias("id")).unionByName(rows.select(F.col("dst").alias("id"))).distinct()
         if vertices is None:
@@ -99,6 +130,11 @@ class PropertyGraph:
     def is_empty(self) -> bool:
         return self.edges.isEmpty()
 
+    @cached_property
+    def weight_span(self) -> Span:
+        """What exact sums of weights need to know of them."""
+        return spans(self.edges, {"weight": F.col("weight")})["weight"]
+
     @cached_property
     def adjacency(self) -> DataFrame:
         """``id, neighbor, weight``: out-neighbours, or both ways if undirected; a loop once."""
@@ -135,3 +171,8 @@ class PropertyGraph:
             layers.append(found)
             if len(layers) > 16:  # keeps the union short on long paths
                 layers = [materialize(seen, "reached"), found]
+
+
+register_source("dataframe", PropertyGraph.from_edges)
+register_source("parquet", PropertyGraph.from_parquet)
+register_source("adjacency_json", PropertyGraph.from_adjacency_json)
