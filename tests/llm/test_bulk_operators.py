@@ -116,6 +116,24 @@ def test_trie_join(spark, bucket, agree, forests):
     assert np.array_equal(simhash._stars(len(x), *np.array(links).T), expected)
 
 
+def test_links_between_known_sets(spark):
+    rng = np.random.default_rng(3)
+    fps = {0, *(int(b) ^ sum(1 << int(k) for k in set(rng.integers(0, 64, rng.integers(0, 4)))) for b in rng.integers(0, 2**64, 20, dtype=np.uint64) for _ in range(20))}
+    x = np.array(sorted(fps), np.uint64)
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 4
+    frame = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    place = {int(v): k for k, v in enumerate(x.view(np.int64))}
+    few = np.array([(place[r.src], place[r.dst]) for r in simhash.hamming_links(frame, 4, agree=2, disjoint=True).collect()])
+    label = simhash._stars(len(x), *few.T)
+    known = np.where(np.bincount(label, minlength=len(x))[label] > 1, label + 1, 0)
+    frame = spark.createDataFrame([(int(v), int(k)) for v, k in zip(x.view(np.int64), known, strict=True)], "fp long, known long")
+    found = {(r.src, r.dst) for r in simhash.hamming_links(frame, 4, agree=2).collect()}
+    nodes = {int(k): int(np.flatnonzero(known == k)[0]) for k in set(known[known > 0].tolist())} | {v: k for v, k in place.items() if not known[k]}
+    i, j = (np.array([nodes[p[e]] for p in found] + few[:, e].tolist(), np.int64) for e in (0, 1))
+    assert all(a != b for a, b in found) and len(found) < len(few)
+    assert np.array_equal(simhash._stars(len(x), i, j), simhash._stars(len(x), *np.nonzero(near)))
+
+
 def test_frontier_in_parts(monkeypatch):
     monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 50)
     rng = np.random.default_rng(1)

@@ -138,9 +138,9 @@ def several_fingerprints(docs: DataFrame, width: int, seeds: int = SEEDS) -> Dat
     return made.select("doc_id", "_row", "f.*")
 
 
-def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of ``n`` nodes over the links (i, j)."""
-    label = np.arange(n)
+def _stars(n: int, i: np.ndarray, j: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """Smallest index reachable from each of ``n`` nodes over the links (i, j), and from each to its ``known`` one."""
+    label = np.arange(n) if known is None else known.copy()
     while True:
         low = np.minimum(label[i], label[j])
         if np.array_equal(low, label[i]) and np.array_equal(low, label[j]):
@@ -151,18 +151,18 @@ def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def _forests(n: int, i: np.ndarray, j: np.ndarray, forests: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of ``forests`` edge-disjoint spanning forests of the links (i, j)."""
+def _forests(n: int, i: np.ndarray, j: np.ndarray, forests: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of ``forests`` edge-disjoint spanning forests of the links (i, j); nodes of one ``known`` label count as joined."""
     left, chosen = np.arange(len(i)), []
     for _ in range(forests):
-        label, taken = np.arange(n), np.zeros(len(i), bool)
+        label, taken = np.arange(n) if known is None else known, np.zeros(len(i), bool)
         while len(cross := left[label[i[left]] != label[j[left]]]):
             # each component takes its first link that leaves it
             pick = np.full(n, len(i))
             np.minimum.at(pick, label[i[cross]], cross)
             np.minimum.at(pick, label[j[cross]], cross)
             taken[pick[pick < len(i)]] = True
-            label = _stars(n, i[taken], j[taken])
+            label = _stars(n, i[taken], j[taken], known)
         chosen.append(np.flatnonzero(taken))
         left = left[~taken[left]]
     chosen = np.concatenate(chosen)
@@ -180,15 +180,16 @@ def _leaf_pairs(bits: np.ndarray, node: np.ndarray, budget: int) -> tuple[np.nda
     return i[near], j[near]
 
 
-def trie_links(group: np.ndarray, bits: np.ndarray, budget: int, depth: int, forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(group: np.ndarray, bits: np.ndarray, budget: int, depth: int, forests: int = 1, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Self-join of the tries of each group: links (row, row) of spanning forests.
 
     Rows are sorted by (group, bits) and distinct; ``bits`` agree within a group
     on the first ``depth`` bits. A node is a range of rows; a node pair is (lo,
-    hi) of either node and the differing bits so far.
+    hi) of either node and the differing bits so far. ``known`` names for each
+    row the first of those it is already joined to.
     """
     n = len(bits)
-    label = np.arange(n)
+    label = np.arange(n) if known is None else known
     starts = np.flatnonzero(np.r_[n > 0, group[1:] != group[:-1]])
     stops = np.r_[starts[1:], n]
     several = stops - starts > 1
@@ -202,7 +203,7 @@ def trie_links(group: np.ndarray, bits: np.ndarray, budget: int, depth: int, for
         if len(pairs) > PAIRS_AT_ONCE:
             stack += [(at, part) for part in np.array_split(pairs, -(-len(pairs) // PAIRS_AT_ONCE))]
             continue
-        if chosen and forests == 1:  # two nodes that are wholly in one component have nothing to add
+        if (chosen or known is not None) and forests == 1:  # two nodes that are wholly in one component have nothing to add
             change = np.r_[0, np.cumsum(label[1:] != label[:-1])]
             a, b = pairs[:, 0], pairs[:, 2]
             done = (change[pairs[:, 1] - 1] == change[a]) & (change[pairs[:, 3] - 1] == change[b]) & (label[a] == label[b])
@@ -215,9 +216,9 @@ def trie_links(group: np.ndarray, bits: np.ndarray, budget: int, depth: int, for
             links.append((i, j))
             held += len(i)
             if held > PAIRS_AT_ONCE + chosen:
-                links = [_forests(n, *(np.concatenate(x) for x in zip(*links, strict=True)), forests)]
+                links = [_forests(n, *(np.concatenate(x) for x in zip(*links, strict=True)), forests, known)]
                 held = chosen = len(links[0][0])
-                label = _stars(n, *links[0])
+                label = _stars(n, *links[0], known)
         pairs = pairs[~few]
         if not len(pairs):
             continue
@@ -239,15 +240,19 @@ def trie_links(group: np.ndarray, bits: np.ndarray, budget: int, depth: int, for
         own = (below[:, 0] == below[:, 2]) & (below[:, 1] - below[:, 0] < 2)
         if len(below := below[~own]):
             stack.append((at + 1, below))
-    return _forests(n, *(np.concatenate(x) for x in zip(*links, strict=True)), forests)
+    return _forests(n, *(np.concatenate(x) for x in zip(*links, strict=True)), forests, known)
 
 
-def _tables(budget: int, agree: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """For each choice of ``agree`` blocks: their width, and all blocks (offset from the top, width) with those first."""
+def _tables(budget: int, agree: int, disjoint: bool = False) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For each choice of ``agree`` blocks: their width, and all blocks (offset from the top, width) with those first.
+
+    ``disjoint``: only choices that share no block.
+    """
     count = budget + agree
     edges = [round(64 * k / count) for k in range(count + 1)]
     blocks = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-    return [(sum(w for _, w in first), [*first, *(b for b in blocks if b not in first)]) for first in combinations(blocks, agree)]
+    choices = zip(*[iter(blocks)] * agree, strict=False) if disjoint else combinations(blocks, agree)
+    return [(sum(w for _, w in first), [*first, *(b for b in blocks if b not in first)]) for first in choices]
 
 
 def _permuted(fps: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
@@ -285,21 +290,27 @@ def _large_blocks(fps: DataFrame, budget: int, agree: int, bucket: int) -> bool:
     return (counted.agg(F.max("n")).first()[0] or 0) > bucket
 
 
-def hamming_links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET, agree: int = 1, forests: int = 1) -> DataFrame:
-    """``seed, src, dst``: linked pairs of the distinct ``fp`` of each ``seed`` (if there is none: 0), spanning forests of each task's links."""
-    tables = _tables(budget, agree)
+def hamming_links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET, agree: int = 1, forests: int = 1, disjoint: bool = False) -> DataFrame:
+    """``seed, src, dst``: linked pairs of the distinct ``fp`` of each ``seed`` (if there is none: 0), spanning forests of each task's links.
+
+    Fingerprints with one ``known`` number (if there is that column; 0: none) are
+    joined already: only links that lead out of such a set are found, and name it
+    by that number. ``disjoint`` finds a part of the links, in few tables.
+    """
+    tables = _tables(budget, agree, disjoint)
     least = min(w for w, _ in tables)
-    fps = fps.select((F.col("seed") if "seed" in fps.columns else F.lit(0)).cast("int").alias("seed"), "fp")
+    part = lambda name: F.col(name) if name in fps.columns else F.lit(0)
+    fps = fps.select(part("seed").cast("int").alias("seed"), "fp", part("known").cast("long").alias("known"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seed, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            seed, fp, known = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2)
             for k, (width, blocks) in enumerate(tables):
                 bits = _permuted(fp, blocks)
                 columns = [seed * np.int32(len(tables)) + np.int32(k), (bits >> np.uint64(64 - width)).astype(np.int32), bits.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "value", "bits"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), known], names=["block", "value", "bits", "known"])
 
-    dealt = fps.mapInArrow(deal, "block int, value int, bits long")
+    dealt = fps.mapInArrow(deal, "block int, value int, bits long, known long")
     if _large_blocks(fps, budget, agree, bucket):
         # at most sum(2**width) buckets: a bound that does not grow with the data
         large = dealt.groupBy("block", "value").count().where(F.col("count") > bucket)
@@ -312,22 +323,29 @@ def hamming_links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET, ag
     else:
         tasks = dealt.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0))
     task = F.expr("(cast(block AS bigint) << 56) | (cast(value AS bigint) << 32) | (cast(lo AS bigint) << 16) | hi")
-    dealt = tasks.select(task.alias("task"), "bits").repartition("task")
+    dealt = tasks.select(task.alias("task"), "bits", "known").repartition("task")
     dealt = dealt.sortWithinPartitions("task", F.expr("bits ^ -9223372036854775808L"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(task, bits):
-            i, j = trie_links(task, bits.view(np.uint64), budget, least, forests)
+        def linked(task, bits, known):
+            joined, first = np.arange(len(task)), None
+            if (some := np.flatnonzero(known)).size:
+                sets = np.stack([task[some], known[some]], axis=1)
+                _, at, which = np.unique(sets, axis=0, return_index=True, return_inverse=True)
+                joined[some] = some[at][which.ravel()]
+                first = joined
+            i, j = trie_links(task, bits.view(np.uint64), budget, least, forests, first)
             block = (task[i].view(np.uint64) >> np.uint64(56)).astype(np.int64)
             src, dst = np.empty(len(i), np.uint64), np.empty(len(i), np.uint64)
             for k in np.unique(block).tolist():
                 mine, blocks = block == k, tables[k % len(tables)][1]
                 src[mine] = _restored(bits[i[mine]].view(np.uint64), blocks)
                 dst[mine] = _restored(bits[j[mine]].view(np.uint64), blocks)
+            src, dst = (np.where(known[at] != 0, known[at].view(np.uint64), fp) for at, fp in ((i, src), (j, dst)))
             seed = (block // len(tables)).astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(seed), pa.array(src.view(np.int64)), pa.array(dst.view(np.int64))], names=["seed", "src", "dst"])
 
-        held = [np.empty(0, np.int64)] * 2
+        held = [np.empty(0, np.int64)] * 3
         for batch in batches:
             held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
             if len(held[0]) >= ROWS_AT_ONCE and (cut := int(np.searchsorted(held[0], held[0][-1]))):  # whole tasks only
@@ -341,16 +359,29 @@ def hamming_links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET, ag
 def candidate_groups(classes: DataFrame, budget: int, seeds: int = SEEDS) -> DataFrame:
     """``(id, component)`` of the classes (``id, fp, fp1`` ...) with another one within ``budget`` bits in any fingerprint.
 
-    Fingerprints and ids are nodes of one graph, so equal numbers may only make a group larger.
+    Fingerprints and ids are nodes of one graph, so equal numbers may only make a
+    group larger. Links of the first fingerprint in few tables come first and join
+    most of each large group; all tables of all fingerprints then add only links
+    between those parts, named by the part, so the links grow with the members
+    and not with members times tables.
     """
     own = F.posexplode(F.array("fp", *(f"fp{k}" for k in range(1, seeds)))).alias("seed", "own")
     long = materialize(classes.select("id", own), "long")
     named = materialize(long.groupBy("seed", "own").agg(F.count("*").alias("n")), "named")
-    found = materialize(hamming_links(named.select("seed", F.col("own").alias("fp")), budget, agree=2).select("src", "dst").distinct(), "found")
-    linked = found.select(F.col("src").alias("own")).unionByName(found.select(F.col("dst").alias("own")))
-    linked = linked.unionByName(named.where("n > 1").select("own")).distinct()
-    members = long.join(linked, "own").select(F.col("id").alias("src"), F.col("own").alias("dst"))
-    return connected_components(found.unionByName(members)).join(classes.select("id"), "id")
+    prints = named.select("seed", F.col("own").alias("fp"))
+
+    def members(links: DataFrame) -> DataFrame:
+        linked = links.select(F.col("src").alias("own")).unionByName(links.select(F.col("dst").alias("own")))
+        linked = linked.unionByName(named.where("n > 1").select("own")).distinct()
+        return long.join(linked, "own").select(F.col("id").alias("src"), F.col("own").alias("dst"))
+
+    few = materialize(hamming_links(prints.where("seed = 0"), budget, agree=2, disjoint=True).select("src", "dst").distinct(), "few")
+    parts = materialize(connected_components(few.unionByName(members(few))).join(classes.select("id"), "id"), "parts")
+    known = long.join(parts, "id").groupBy("seed", F.col("own").alias("fp")).agg(F.min("component").alias("known"))
+    known = prints.join(known, ["seed", "fp"], "left").withColumn("known", F.coalesce("known", F.lit(0)))
+    found = materialize(hamming_links(materialize(known, "known"), budget, agree=2).select("src", "dst").distinct(), "found")
+    joined = parts.select(F.col("id").alias("src"), F.col("component").alias("dst"))
+    return connected_components(found.unionByName(members(found)).unionByName(joined)).join(classes.select("id"), "id")
 
 
 def components_of(docs_fp: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
