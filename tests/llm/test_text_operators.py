@@ -151,6 +151,17 @@ def test_quality_filter(spark):
     assert quality.filter_quality(table.where("false")).collect() == []
 
 
+def test_groups_have_their_own_cutoffs(spark):
+    text = lambda k, n, length: " ".join(["#" * n, *(("a" if j % 2 else "b") * (length + (k + j) % 3) + str(k * 40 + j) for j in range(40))])
+    rows = [(k, text(k, 0, 4), "x", "plain", 1) for k in range(400)] + [(1000 + k, text(k, 4 + k % 8, 11), "y", "code", 1) for k in range(400)]
+    rows += [(5000, text(5000, 6, 4), "x", "plain", 1), (5001, text(5000, 6, 11), "y", "code", 1), (5002, text(5000, 6, 4), "y", "code", 1), (5003, text(5000, 0, 11), "x", "plain", 1), (5004, text(5000, 0, 4), "x", "plain", 1)]
+    table = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("symbols_high", "word_length_low", "n_words", "_lang", "_f")})
+    kept = quality.filter_quality(table)
+    assert kept.columns == table.columns
+    got = {r.doc_id for r in kept.collect()}
+    assert {k for k in got if k >= 5000} == {5001, 5004} and len(got) == 802
+
+
 def test_merged_sketches_equal_one_sketch(spark):
     table = quality.with_features(docs(spark, [" ".join("x" * (1 + (j + k) % 9) for j in range(30)) for k in range(60)]))
     parts = quality.sketch(table.where("doc_id < 25")).unionByName(quality.sketch(table.where("doc_id >= 25")))
