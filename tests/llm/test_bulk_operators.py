@@ -326,6 +326,14 @@ def test_nearest(spark, tmp_path, monkeypatch, block, part):
     assert hits / total >= 0.9
 
 
+def test_nearest_of_one_repeated_id(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 3)
+    table = spark.createDataFrame([(20, [1.0, 2.0])] * 300 + [(7, [0.5, 1.0])], "vec_id long, embedding array<float>")
+    for seed in range(6):
+        monkeypatch.setattr(ann, "SEED", seed)
+        assert [tuple(r) for r in ann.nearest(table, F.col("vec_id") % 20 == 0).collect()] == [(20, 1, 7, 2.5)]
+
+
 def test_nearest_of_few_and_none(spark, tmp_path):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None)], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in ann.op7_nearest(spark, write(table, tmp_path, "embeddings")).orderBy("rank").collect()]

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from topoprofile.llm import chat_format, mixing, quality, secret_scan
+from topoprofile.llm import chat_format, mixing, quality, secret_scan, simhash, suffix_dedup
 from topoprofile.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("TABLES", "/root/testdata/sf0.001")
@@ -118,6 +118,20 @@ def test_secrets(spark):
     assert sum(len(r.secrets) for r in found) > 10
 
 
+CLASHING = ["_text", "hex_m", "cand_m", "_base", "_cand", "parts", "rate", "cdf", "_source", "_id", "_n", "mass", "tid", "_row", "_doc", "a", "x", "symbols_high", "_group"]
+
+
+@pytest.mark.parametrize("operator", [secret_scan.find_secrets, mixing.poisson_mix, quality.filter_quality, simhash.keep_one, suffix_dedup.with_spans], ids=lambda f: f.__name__)
+def test_clashing_names(spark, operator):
+    plain = docs(spark, [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(8)] + [None, "", "token: 0123456789abcdefABCD"])
+    table = plain.withColumns({c: F.col("doc_id") * 10 + k for k, c in enumerate(CLASHING)})
+    out, expected = operator(table), operator(plain)
+    rows = out.collect()
+    assert [c for c in out.columns if c in table.columns] == table.columns
+    assert all(r[c] == r.doc_id * 10 + k for r in rows for k, c in enumerate(CLASHING))
+    assert sorted(map(repr, out.select(*expected.columns).collect())) == sorted(map(repr, expected.collect()))
+
+
 def test_redaction(spark):
     table = docs(spark, SECRETS)
     clean = {r.doc_id: r.text for r in secret_scan.redact(secret_scan.find_secrets(table)).collect()}

@@ -16,8 +16,8 @@ task's group, so neither a popular vector nor a popular leaf is gathered whole.
 Defined cases. Vectors that are null, zero, of another length than most, or hold
 null or non-finite components take no part, nor do null ids. Of rows that repeat
 a query's id one (the smallest vector) is the query; every row with that id is
-the query's own and no candidate. Other repeated rows are candidates each. Ties
-go to the smaller id. No valid vector: no rows. Extra columns are ignored.
+the query's own and no candidate. Other repeated rows are candidates each, dealt
+over blocks like any others. Ties go to the smaller id. No valid vector: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -172,8 +172,10 @@ def _ranked(found: DataFrame, top: int) -> DataFrame:
 def fit(vectors: DataFrame, rows: int) -> tuple[Tree, np.ndarray]:
     """A tree from a hashed sample; and the sample's ids."""
     share = min(1.0, SAMPLE / max(rows, 1) * 0.9)
-    hashed = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+    hashed = F.pmod(F.xxhash64("vec_id", "embedding", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
     sample = vectors.where(hashed).limit(SAMPLE).toPandas()
+    if not len(sample):  # few distinct rows, none of them hashed into the sample
+        sample = vectors.limit(SAMPLE).toPandas()
     leaf = max(8, round(len(sample) / (LEAVES * max(rows, 1) ** 0.25)))
     return Tree(_matrix(sample["embedding"]), leaf), sample["vec_id"].to_numpy()
 
@@ -208,7 +210,7 @@ def search(vectors: DataFrame, queries: DataFrame, tree: Tree, visits: int, inde
     # one row per leaf of a tree whose sample is bounded
     shape = materialize(sizes.join(asked, "leaf"), "leaves")
     wide = lambda d, own, other: (
-        d.join(F.broadcast(shape), "leaf").withColumn(own, F.pmod(F.xxhash64(d.columns[0]), F.col(f"{own}s")).cast("int")).withColumn(other, F.explode(F.expr(f"sequence(0, {other}s - 1)")))
+        d.join(F.broadcast(shape), "leaf").withColumn(own, F.pmod(F.monotonically_increasing_id(), F.col(f"{own}s")).cast("int")).withColumn(other, F.explode(F.expr(f"sequence(0, {other}s - 1)")))
     )
     keys = ["leaf", "block", "slice"]
     left = wide(indexed, "block", "slice").select("vec_id", "embedding", *keys)

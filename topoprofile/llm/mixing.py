@@ -12,7 +12,8 @@ Defined cases. Null source: a source of its own, weighted like the others. Null
 text counts as one character, like the empty one. A null document id is hashed by
 its text. Rows that repeat an id share its draw. A source that the weights do not
 name, or weigh 0, gets no copies; an empty table gives an empty one. Extra columns
-are kept; columns named ``copy`` or ``shuffle_key`` are replaced.
+are kept, whatever their names; columns named ``copy`` or ``shuffle_key`` are
+replaced.
 """
 
 from __future__ import annotations
@@ -70,15 +71,15 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     """
     docs = docs.drop("copy", "shuffle_key")
     rates = materialize(source_rates(docs, weights, budget), "rates")
-    named = docs.withColumn("_source", F.coalesce("source", F.lit(_NULL)))
-    named = named.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit(""))))))
+    identity = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
+    named = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce("source", F.lit(_NULL)).alias("_source"), identity.alias("_id"))
     rated = join_small(named, rates, "_source")
     draw = _uniform(f"concat('{seed}|', _id, '|', j)")
     count = f"aggregate(sequence(1, parts), 0, (n, j) -> n + size(transform(array({draw}), u -> filter(cdf, c -> c <= u))[0]))"
     counted = rated.withColumn("_n", F.expr(f"CASE WHEN parts IS NULL THEN 0 ELSE {count} END")).where("_n > 0")
     copies = counted.withColumn("copy", F.explode(F.expr("sequence(0L, cast(_n AS bigint) - 1L)")))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}|order|"), "_id", F.lit("|"), F.col("copy").cast("string"))))
-    out = keyed.select(*docs.columns, "copy", "shuffle_key")
+    out = keyed.select("_row.*", "copy", "shuffle_key")
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 

@@ -13,8 +13,8 @@ the allow-list are not looked at; pattern spans are never suppressed.
 
 Defined cases. Null text: empty, no spans. Offsets are code points, ends
 exclusive. Texts of any length are scanned whole. Repeated rows are scanned
-each; extra columns are kept by ``find_secrets`` and ``redact``; a column named
-``secrets`` is replaced.
+each; extra columns are kept by ``find_secrets`` and ``redact``, whatever their
+names; a column named ``secrets`` is replaced.
 """
 
 from __future__ import annotations
@@ -114,8 +114,8 @@ def _candidates(allow: Sequence[str]) -> str:
 
 def find_secrets(docs: DataFrame, text: str = "text", allow: Sequence[str] = ALLOW) -> DataFrame:
     """``docs`` with ``secrets``: array of (start, kind_no, stop), by start and then kind. No shuffle."""
-    base = docs.drop("secrets").withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    found = base
+    docs = docs.drop("secrets")
+    found = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     for kind, (pattern, _) in PATTERNS.items():
         found = found.withColumn(f"{kind}_m", F.expr(f"regexp_extract_all(_text, {_lit(pattern)}, 0)"))
     found = found.withColumn("cand_m", F.expr(f"regexp_extract_all(_text, {_lit(CANDIDATE)}, 0)"))
@@ -125,7 +125,7 @@ def find_secrets(docs: DataFrame, text: str = "text", allow: Sequence[str] = ALL
     runs = f"transform(_cand, c -> named_struct('m', substring(_text, c.start + 1, c.stop - c.start), 'at', c.start, 'kind_no', c.kind_no, 'least', {least}))"
     entropy = f"CASE WHEN size(_cand) = 0 THEN cast(array() AS {_SPAN}) ELSE flatten(transform({runs}, x -> {_windows()})) END"
     found = found.withColumn("secrets", F.expr(f"array_sort(concat(_base, {entropy}))"))
-    return found.drop("_text", "_base", "_cand", "cand_m", *(f"{k}_m" for k in PATTERNS))
+    return found.select("_row.*", "secrets")
 
 
 def redact(found: DataFrame, text: str = "text") -> DataFrame:

@@ -507,7 +507,7 @@ def similar_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, width:
 def keep_one(docs: DataFrame, width: int = 5, budget: int = 8, least: float = 0.8) -> DataFrame:
     """``docs`` without all but one row of each component: the one with the smallest id (of several, the smallest text hash; null ids last)."""
     row = F.xxhash64("doc_id", F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("_row", row)
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", row.alias("_row"))
     seen = materialize(several_fingerprints(keyed.select("doc_id", "text", "_row"), width), "fingerprints")
     prints = (F.min(c).alias(c) for c in ("fp", *(f"fp{k}" for k in range(1, SEEDS))))  # of one text: all equal
     classes = seen.groupBy("id").agg(F.count("*").alias("count"), F.min("_row").alias("one"), *prints)
@@ -525,9 +525,9 @@ def keep_one(docs: DataFrame, width: int = 5, budget: int = 8, least: float = 0.
     repeated = seen.groupBy("_row").count().where("count > 1").select("_row")
     repeated = materialize(repeated.join(kept, "_row", "left_semi"), "repeated")
     if repeated.isEmpty():
-        return stay.select(*docs.columns)
+        return stay.select("_doc.*")
     again = stay.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
-    return stay.join(repeated, "_row", "left_anti").unionByName(again).select(*docs.columns)
+    return stay.join(repeated, "_row", "left_anti").unionByName(again).select("_doc.*")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -402,9 +402,10 @@ def _repeats_rows(docs: DataFrame) -> bool:
 def with_spans(docs: DataFrame, strings: int = STRINGS) -> DataFrame:
     """``docs`` with ``spans``: the byte intervals to remove, null where there are none."""
     spans = repeated_spans(docs, strings)
-    named = docs.drop("spans").withColumn("tid", _text_id())
+    docs = docs.drop("spans")
+    named = docs.select(F.struct(*docs.columns).alias("_row"), _text_id().alias("tid"))
     counts = named.groupBy("tid").count()
-    return join_lookup(named, spans, "tid", counts, docs.count()).drop("tid")
+    return join_lookup(named, spans, "tid", counts, docs.count()).select("_row.*", "spans")
 
 
 def without(raw: bytes, spans: list) -> bytes:
