@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from topoprofile import ProfileExtractor, PropertyGraph
 from topoprofile.functions import aggregations
 from topoprofile.operators import binning
-from topoprofile.operators.prune import chebyshev, feature_groups, oldest, to_drop
+from topoprofile.operators.prune import chebyshev, feature_groups, oldest, survivors
 from topoprofile.plans.profile import aggregate_neighbors, neighborhood_features
 
 TEN = list(range(10))
@@ -49,7 +49,7 @@ def test_binning_of_nothing_and_bad_share(spark):
 
 def distances(spark, columns):
     table = spark.createDataFrame(list(zip(*columns.values(), strict=True)), list(columns))
-    return chebyshev(table, {c: F.col(c) for c in columns})
+    return chebyshev(table, dict.fromkeys(columns))
 
 
 def test_groups(spark):
@@ -62,19 +62,21 @@ def test_groups(spark):
 
 def test_prune(spark):
     columns = {"a": [1, 2, 3, 10], "b": [1, 2, 3, 1], "c": [2, 1, 1, 4], "d": [1, 1, 1, 1], "e": [1, 1, 2, 0]}
-    found = distances(spark, {k: list(map(float, v)) for k, v in columns.items()})
     table = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(zip(*columns.values(), strict=True))], "id long, a double, b double, c double, d double, e double")
     cuts = binning.bin_cuts(table, list(columns))
-    found = chebyshev(table, {c: binning.bin_column(F.col(c), cuts[c]) for c in columns})
-    generations = [["a", "b", "c"], ["d", "e"]]
-    assert to_drop(found, 0, generations) == set()
-    assert to_drop(found, 1, generations) == {"c", "d", "e"}
-    assert to_drop(found, 2, generations) == {"b", "c", "d", "e"}
+    found = chebyshev(table, cuts)
+    binned = binning.log_bin(table, list(columns)).toPandas()
+    assert found == {(a, b): (binned[a] - binned[b]).abs().max() for a, b in found}
+    born = {"a": 0, "b": 0, "c": 0, "d": 1, "e": 1}
+    dropped = lambda threshold: set(columns) - set(survivors(columns, found, threshold, born))
+    assert dropped(0) == set()
+    assert dropped(1) == {"c", "d", "e"}
+    assert dropped(2) == {"b", "c", "d", "e"}
 
 
 def test_oldest():
-    generations = [["b", "a"], ["c", "d"]]
-    assert [oldest(g, generations) for g in (["a", "c", "f"], ["a", "b", "f"], ["x", "d", "f", "aa"], ["y", "x", "z"])] == ["a", "a", "d", "x"]
+    born = {"b": 0, "a": 0, "c": 1, "d": 1}
+    assert [oldest(g, born) for g in (["a", "c", "f"], ["a", "b", "f"], ["x", "d", "f", "aa"], ["y", "x", "z"])] == ["a", "a", "d", "x"]
 
 
 def path(spark):
@@ -99,13 +101,15 @@ def test_empty_values_of_nodes_without_neighbors(spark):
 def test_live_and_final_features_differ(spark):
     graph = path(spark)
     plan = ProfileExtractor(graph)
-    plan._update(neighborhood_features(plan.graph))
-    assert sorted(f.name for f in plan.live) == ["degree", "external_edges"]
-    # a feature that a later generation drops stays in the result
+    first = neighborhood_features(plan.graph)
+    table = plan.grown(None, first)
+    names = lambda features: sorted(f.name for f in features)
+    assert names(plan.catalogue.live) == ["degree", "external_edges"]
+    # a feature that a later generation drops stays in the result; a copy of a live one adds nothing
     plan.generation_count = 1
-    plan.retained[0] = [f for f in plan.retained[0]]
-    final = {f.name for g in plan.retained for f in g}
-    assert final == {"degree", "external_edges"}
+    plan.grown(table, first.select("id", F.col("degree").alias("degree2"), (10.0 - F.col("external_edges") * 3).alias("a")))
+    assert "degree2" not in names(plan.catalogue.live)
+    assert names(plan.catalogue.kept(0)) == ["degree", "external_edges"]
 
 
 SEVEN = [(0, 1, 2.0), (0, 2, 1.5), (0, 3, 3.0), (3, 6, 0.25), (4, 5, 0.75), (4, 6, 2.5), (5, 6, 1.0)]

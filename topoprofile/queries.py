@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topoprofile.functions import aggregations
-from topoprofile.operators.binning import bin_column, bin_cuts, log_bin
+from topoprofile.operators.binning import bin_cuts, log_bin
 from topoprofile.operators.components import connected_components
 from topoprofile.operators.egonet import ego_features
 from topoprofile.operators.factor import nmf, quantize_table
 from topoprofile.operators.local import AttributeOptions, degrees, local_features
 from topoprofile.operators.mdl import divergence, encoding_cost
-from topoprofile.operators.prune import chebyshev, feature_groups, oldest, to_drop
+from topoprofile.operators.prune import chebyshev, feature_groups, oldest, survivors
 from topoprofile.plans.profile import ProfileExtractor, aggregate_neighbors
 from topoprofile.plans.profile import neighborhood_features as generation_zero
 from topoprofile.plans.roles import RoleFinder, role_of, shares_of
@@ -29,6 +29,7 @@ from topoprofile.sources.property_graph import PropertyGraph
 #: Coarse enough that the three features fall into one group.
 THRESHOLD = 12
 GEN0 = ("degree", "internal_edges", "external_edges")
+BORN = {"external_edges": 0, "degree": 1, "internal_edges": 1}
 
 
 def co_purchase_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +141,7 @@ def log_binning(spark, sf_dir):
 
 def _distances(features: DataFrame) -> dict:
     cuts = bin_cuts(features, GEN0)
-    return chebyshev(features, {n: bin_column(F.col(n), cuts[n]) for n in GEN0})
+    return chebyshev(features, {n: cuts[n] for n in GEN0})
 
 
 def chebyshev_pairs(spark, sf_dir):
@@ -155,14 +156,12 @@ def groups(spark, sf_dir):
 
 def oldest_feature(spark, sf_dir):
     found = feature_groups(_distances(_gen0(spark, sf_dir)[1]), THRESHOLD)
-    generations = [["external_edges"], ["degree", "internal_edges"]]
-    return spark.createDataFrame([(min(g), oldest(g, generations)) for g in found], "group string, oldest string")
+    return spark.createDataFrame([(min(g), oldest(g, BORN)) for g in found], "group string, oldest string")
 
 
 def prune_gen0(spark, sf_dir):
     distances = _distances(_gen0(spark, sf_dir)[1])
-    dropped = to_drop(distances, THRESHOLD, [["external_edges"], ["degree", "internal_edges"]])
-    return spark.createDataFrame([(f,) for f in GEN0 if f not in dropped], "feature string")
+    return spark.createDataFrame([(f,) for f in survivors(GEN0, distances, THRESHOLD, BORN)], "feature string")
 
 
 def components(spark, sf_dir):
