@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from topoprofile.operators.components import connected_components
 from topoprofile.operators.egonet import ego_features
 from topoprofile.operators.factor import nmf, quantize_table
 from topoprofile.operators.local import AttributeOptions, degrees, local_features
-from topoprofile.operators.mdl import divergence, encoding_cost
+from topoprofile.operators.mdl import divergence, encoding_cost, rescale
 from topoprofile.operators.prune import chebyshev, feature_groups, oldest, survivors
 from topoprofile.plans.profile import ProfileExtractor, aggregate_neighbors
 from topoprofile.plans.profile import neighborhood_features as generation_zero
@@ -203,11 +204,16 @@ def reconstruct(spark, sf_dir):
 
 
 def rescale_costs(spark, sf_dir):
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 40")
-    cost = F.when(F.col("p_partkey") % 5 != 0, (F.col("p_partkey") * 13 % 11).cast("double"))
-    grid = part.select((F.col("p_partkey") % 4).cast("int").alias("n_roles"), F.floor(F.col("p_partkey") / 4).cast("int").alias("n_bits"), cost.alias("cost"))
-    norm = F.sqrt(F.sum(F.col("cost") * F.col("cost")).over(Window.partitionBy("n_roles")))
-    return grid.select("n_roles", "n_bits", F.round(F.try_divide("cost", norm), 6).alias("rescaled"))
+    """Costs by cell, summed over the whole part table; some cells are missing."""
+    roles, bits = F.col("p_partkey") % 4, F.floor(F.col("p_partkey") / 4) % 11
+    cells = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(roles.alias("n_roles"), bits.alias("n_bits")).agg(F.sum(F.col("p_partkey") * 13 % 11).alias("cost"))
+    costs = np.full((4, 11), np.nan)
+    present = {(r.n_roles, r.n_bits): r.cost for r in cells.collect()}  # 44 at most
+    for (r, b), cost in present.items():
+        costs[r, b] = np.nan if (r + b) % 5 == 0 else cost
+    scaled = rescale(costs)
+    rows = [(r, b, None if np.isnan(scaled[r, b]) else round(float(scaled[r, b]), 6)) for r, b in sorted(present)]
+    return spark.createDataFrame(rows, "n_roles int, n_bits int, rescaled double")
 
 
 def best_cell(spark, sf_dir):
@@ -332,7 +338,7 @@ _ALL = f"WITH RECURSIVE {_EDGES}, {_EGO}, {_BINS}, {_PAIRS}, {_GROUPS}"
 _G = "g AS (SELECT p_partkey AS id, CAST(p_partkey % 4 AS DOUBLE) AS g0, CAST(p_partkey * 3 % 4 + 1 AS DOUBLE) AS g1, [CAST(p_partkey * m % 7 AS DOUBLE) FOR m IN [1, 2, 3]] AS v FROM part)"
 _HAT = [f"(g0 * {FIXED_F[0][k]} + g1 * {FIXED_F[1][k]})" for k in range(3)]
 _AGGS = lambda fns: " UNION ALL ".join(f"SELECT d.s AS id, '{f}({n})' AS feature, round(CAST({sql.format(f)} AS DOUBLE), 6) AS value FROM d JOIN g ON g.id = d.t GROUP BY d.s" for f in GEN0 for n, sql in fns)
-_GRID = "r AS (SELECT CAST(p_partkey % 4 AS INT) AS n_roles, CAST(floor(p_partkey / 4.0) AS INT) AS n_bits, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_partkey * 13 % 11 AS DOUBLE) END AS cost FROM part WHERE p_partkey <= 40), z AS (SELECT n_roles, n_bits, round(cost / nullif(sqrt(sum(cost * cost) OVER (PARTITION BY n_roles)), 0), 6) AS rescaled FROM r)"
+_GRID = "k AS (SELECT CAST(p_partkey % 4 AS INT) AS n_roles, CAST(floor(p_partkey / 4.0) % 11 AS INT) AS n_bits, sum(p_partkey * 13 % 11) AS total FROM part GROUP BY ALL), r AS (SELECT n_roles, n_bits, CASE WHEN (n_roles + n_bits) % 5 <> 0 THEN CAST(total AS DOUBLE) END AS cost FROM k), z AS (SELECT n_roles, n_bits, round(cost / nullif(sqrt(sum(cost * cost) OVER (PARTITION BY n_roles)), 0), 6) AS rescaled FROM r)"
 
 ORACLE_SQL = {
     "degree": f"WITH {_EDGES} SELECT s AS id, sum(w) AS degree FROM d GROUP BY 1",
