@@ -216,15 +216,43 @@ def test_token_files(spark, tmp_path):
     library = Tokenizer.from_file(token_files.default_tokenizer())
     table = odd_docs(spark).unionByName(spark.createDataFrame([(100 + k, t) for k, t in enumerate(near_texts())], DOCS), allowMissingColumns=True)
     got = [tuple(r) for r in token_files.op5_token_files(spark, write(table, tmp_path, "documents")).orderBy("start").collect()]
-    rows = sorted(((r.doc_id, r.text or "") for r in table.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    hashed = table.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = sorted(((r.doc_id, r.text, r.h) for r in hashed.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1]))
     start, expected = 0, []
-    for i, t in rows:
+    for i, t, _ in rows:
         ids = [*library.encode(t, add_special_tokens=False).ids, 1]
         expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4"))))
         start += len(ids)
     assert got == expected
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_any_tokenizer(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    library, encoder = Tokenizer.from_file(path), token_files.RunEncoder(path)
+    texts = [*(t or "" for t in ODD), "hello brave new world", " two  spaces\n\nand lines ", "It's A Mixed CASE"]
+    expected = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [np.frombuffer(raw, encoder.kind).tolist() for raw in encoder.encode(texts)] == expected
+    assert encoder.splits == (name == "word_bpe_49k.json")
+
+
+def test_files_of_attempts_differ(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    index = [warc.write_bundles(pages, str(tmp_path / "same")) for _ in range(2)]
+    assert len({i.first().bundle for i in index}) == 2
+    assert [r.page_id for i in index for r in warc.read_bundles(i).collect()] == [1, 1]
+    wrong = index[0].withColumn("page_id", F.lit(2).cast("long"))
+    with pytest.raises(Exception, match="another record"):
+        warc.read_bundles(wrong).collect()
+
+
+def test_blocks_follow_the_count():
+    assert [simhash.blocks_to_agree(n) for n in (0, 10**6, 10**7, 10**8, 10**10)] == [1, 1, 1, 2, 2]
+
+
 def test_short_document_access(spark, tmp_path):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(near_texts())] + [(None, "x")], DOCS)
     path = token_files.default_tokenizer()

@@ -28,7 +28,7 @@ def docs(spark, texts, extra=False):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     expected = con.sql(ORACLE_SQL[name]).df()
     got = QUERIES[name](spark, DATA).toPandas()
@@ -118,6 +118,20 @@ def test_secrets(spark):
     assert sum(len(r.secrets) for r in found) > 10
 
 
+def test_secret_digests(spark, tmp_path):
+    docs(spark, SECRETS, extra=True).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in secret_scan.op2_secret_scan(spark, str(tmp_path)).collect()}
+    for k, text in enumerate(SECRETS):
+        spans = [(secret_scan.KINDS[kind], a, b) for a, kind, b in spans_by_definition(text)]
+        base = [s for s in spans if s[0] in ("assign", "access", "hex")]
+        counts = Counter(kind for kind, _, _ in base)
+        joined = lambda found: ",".join(f"{kind}:{a}:{b}" for kind, a, b in found)
+        expected = (k, counts["assign"], counts["access"], counts["hex"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans))
+        r = got[k]
+        assert (r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == expected
+    assert len(got) == len(SECRETS)
+
+
 CLASHING = ["_text", "hex_m", "cand_m", "_base", "_cand", "parts", "rate", "cdf", "_source", "_id", "_n", "mass", "tid", "_row", "_doc", "a", "x", "symbols_high", "_group"]
 
 

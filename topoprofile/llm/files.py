@@ -51,6 +51,11 @@ def partition_id() -> int:
     return TaskContext.get().partitionId()
 
 
+def attempt_name() -> str:
+    """A file name that no other attempt at the same task has: a late attempt never replaces the file that the committed index names."""
+    return f"{partition_id():06d}-{uuid.uuid4().hex}"
+
+
 def each_in_a_task(rows: DataFrame, key: str, most: int = 10_000) -> DataFrame:
     """Deal a small table of files out so that tasks get few rows each (adaptive execution would merge them)."""
     return rows.repartition(max(1, min(rows.count(), most)), key)

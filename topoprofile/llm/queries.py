@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_chat_format": chat_format.ORACLE,
+    "op3_warc": warc.ORACLE,
     "op9_poisson_mix": mixing.ORACLE,
     "op10_quality_rules": quality.ORACLE,
 }

@@ -55,6 +55,8 @@ BUDGET = 4
 SEEDS = 4
 #: Fingerprints of a bucket that one task takes.
 BUCKET = 50_000
+#: Slices of one bucket have 16 bits in a task's number; beyond, slices grow instead.
+MOST_SLICES = (1 << 16) - 1
 #: Rows a task joins at once, and node pairs it holds at once.
 ROWS_AT_ONCE = 100_000
 PAIRS_AT_ONCE = 150_000
@@ -273,6 +275,12 @@ def _restored(bits: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
+def blocks_to_agree(count: int, budget: int = BUDGET) -> int:
+    """Blocks that name a bucket for so many fingerprints: one (13 bits of 64 under four bits' budget) while buckets of evenly
+    spread ones stay far below ``BUCKET``, else two (21 bits, and more tables). All links are found either way."""
+    return 1 if count <= (BUCKET >> 2) << (64 // (budget + 1)) else 2
+
+
 def _large_blocks(fps: DataFrame, budget: int, agree: int, bucket: int) -> bool:
     """Whether some block value alone holds over ``bucket`` fingerprints: else no bucket, which fixes a block at least, does."""
     count = budget + agree
@@ -314,7 +322,7 @@ def hamming_links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET, ag
     if _large_blocks(fps, budget, agree, bucket):
         # at most sum(2**width) buckets: a bound that does not grow with the data
         large = dealt.groupBy("block", "value").count().where(F.col("count") > bucket)
-        large = materialize(large.select("block", "value", F.ceil(F.col("count") / bucket).cast("int").alias("slices")), "buckets")
+        large = materialize(large.select("block", "value", F.least(F.ceil(F.col("count") / bucket), F.lit(MOST_SLICES)).cast("int").alias("slices")), "buckets")
         sliced = dealt.join(F.broadcast(large), ["block", "value"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
         sliced = sliced.withColumn("slice", F.pmod(F.xxhash64("bits"), F.col("slices")).cast("int"))
         tasks = sliced.withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
@@ -535,5 +543,6 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     seen = materialize(fingerprints(docs).select("doc_id", "fp"), "fingerprints")
     classes = materialize(seen.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("count")), "classes")
-    joined = components_of(seen, materialize(hamming_links(classes).select("src", "dst"), "links"), classes)
+    links = hamming_links(classes, agree=blocks_to_agree(classes.count())).select("src", "dst")
+    joined = components_of(seen, materialize(links, "links"), classes)
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

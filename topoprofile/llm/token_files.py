@@ -1,7 +1,7 @@
 """Token-id files: a zstandard frame per document, over a shared dictionary, with an offset index.
 
 A file holds a range of documents in ascending id order (null ids first; equal
-ids by text)::
+ids by their text's hash, then text, so one id's rows may span files)::
 
     header   magic, bytes per id, SHA-256 of the dictionary (zeros: none)
     frames   one per document: its ids, little-endian unsigned, compressed alone
@@ -13,9 +13,11 @@ single read. The dictionary is trained on the serialized ids of a bounded sample
 of short documents (``SAMPLE_DOCS`` expected, up to ``SAMPLE_CHARS`` characters
 each), since it serves short documents; all documents are encoded and written.
 
-Ids come from the tokenizer for each distinct space-free run of a batch. No token
-crosses the six ASCII white-space characters, so a text's ids are the ids of its
-runs in order, and a worker keeps those of the last ``CACHE`` to twice as many distinct runs.
+Where the tokenizer's tokens never cross the six ASCII white-space characters, nor
+take them in, ids come for each distinct space-free run of a batch: a text's ids are
+the ids of its runs in order, and a worker keeps those of the last ``CACHE`` to twice
+as many distinct runs. That is probed (``_splits``), as is whether case matters; any
+other tokenizer (byte-level ones keep the space in the token) encodes whole texts.
 
 Defined cases. Null text: empty, only the end id. Repeated rows are written each.
 Texts of any length are encoded whole. An empty table gives an empty result.
@@ -35,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topoprofile.llm.files import each_in_a_task, opened, partition_id, small_batches, written
+from topoprofile.llm.files import attempt_name, each_in_a_task, opened, partition_id, small_batches, written
 from topoprofile.runtime import materialize, new_path
 
 MAGIC = b"TOKPACK1"
@@ -58,6 +60,15 @@ BATCH_CHARS = 2_000_000
 _workers: dict = {}
 
 
+def _splits(ids) -> bool:
+    """Whether ids of texts are those of their runs between white space, probed over words, digits, marks and accents."""
+    words = ["hello", "brave", "New", "the", "a", "it's", "2024", "x_1", "(", ".", "...", "é", "漢字", "-", "\u0301"]
+    known = {w: ids(w) for w in words}
+    pairs = [(w, words[(k + by) % len(words)]) for by in (1, 4) for k, w in enumerate(words)]
+    gaps = [*" \t\n\v\f\r", "  ", "\r\n", " \t "]
+    return all(ids(a + gap + b) == known[a] + known[b] and ids(gap + a + gap) == known[a] for a, b in pairs for gap in gaps)
+
+
 class RunEncoder:
     """Ids of whole texts as bytes, through a bounded cache of runs."""
 
@@ -71,9 +82,10 @@ class RunEncoder:
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         lone = ids(SEPARATOR.decode())
         self.separator = lone[0] if len(lone) == 1 and ids(f"a {SEPARATOR.decode()} b") == ids("a") + lone + ids("b") else None
-        self.lowers = ids("AZ") == ids("az")
         letters = "abcdefghijklmnopqrstuvwxyz"
         probes = [letters, letters[::-1], *letters, "the", "internationalization", "qzxjq"]
+        self.lowers = all(ids(form) == ids(p) for p in probes for form in (p.upper(), p.title()))
+        self.splits = _splits(ids)
         self.plain = self.lowers and all([t.id for t in self.tokenizer.model.tokenize(p)] == ids(p) for p in probes)
         self.code = "H" if self.kind.itemsize == 2 else "I"
 
@@ -84,6 +96,9 @@ class RunEncoder:
         return _workers[tokenizer_path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.splits:
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array([*e.ids, END_ID], self.kind).tobytes() for e in found]
         runs = [self._runs(t) for t in texts]
         new = set().union(*runs).difference(self.known)
         if len(self.known) + len(new) > CACHE:
@@ -166,16 +181,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, dictionary: bytes, f
     and writes its range as a stream.
     """
     small_batches(docs.sparkSession)
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first())
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # a hash beside the id, so that rows which share an id (or have none) are dealt over tasks too
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order, "text")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = partition_id()
-        path = f"{folder}/{number:06d}.ids"
+        path = f"{folder}/{attempt_name()}.ids"
         encoder = RunEncoder.of_worker(tokenizer_path)
         compress = _codec(dictionary)[0].compress
         digest = hashlib.sha256(dictionary).digest() if dictionary else bytes(32)
-        index, ids = [], 0
+        index, ids = [np.empty(0, INDEX)], 0
         with written(path) as out:
             out.write(struct.pack(HEADER, MAGIC, encoder.kind.itemsize, digest))
             at = HEADER_BYTES
@@ -183,15 +200,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, dictionary: bytes, f
                 texts = frame["text"].tolist()
                 names = frame["doc_id"].astype("Int64")
                 for part in _in_batches(texts):
+                    entries = []
                     for name, raw in zip(names[part], encoder.encode(texts[part]), strict=True):
                         packed = compress(raw)
                         out.write(packed)
                         ids += len(raw) // encoder.kind.itemsize
-                        index.append((0 if pd.isna(name) else int(name), pd.isna(name), at, ids))
+                        entries.append((0 if pd.isna(name) else int(name), pd.isna(name), at, ids))
                         at += len(packed)
-            table = np.array(index, INDEX).tobytes()
+                    index.append(np.array(entries, INDEX))
+            index = np.concatenate(index)  # 25 bytes a document
+            table = index.tobytes()
             out.write(table + struct.pack(FOOTER, at, len(index), ids, zlib.crc32(table), MAGIC))
-        if index:
+        if len(index):
             yield pd.DataFrame({"file": [number], "path": [path], "docs": [len(index)], "ids": [ids]})
 
     return materialize(dealt.mapInPandas(write, "file long, path string, docs long, ids long"), "manifest")

@@ -24,18 +24,22 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from contextlib import ExitStack
+from itertools import chain
 
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topoprofile.llm.files import each_in_a_task, opened, partition_id, small_batches, written
+from topoprofile.llm.files import attempt_name, opened, small_batches, written
 from topoprofile.llm.joins import join_lookup
 from topoprofile.runtime import materialize, new_path
 
 FRAME = 1 << 20
 LEVEL = 3
+#: Most tasks that read archives back.
+TASKS = 10_000
 DATE = "2026-01-01T00:00:00Z"
 #: Fixed values of the Zstandard seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -160,59 +164,100 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
     small_batches(pages.sparkSession)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path = f"{folder}/{partition_id():06d}.warc.zst"
+        path = f"{folder}/{attempt_name()}.warc.zst"
+        none = lambda v: None if pd.isna(v) else v
         first = next((f for f in frames if len(f)), None)
         if first is None:
             return
         with written(path) as out:
             bundle = BundleWriter(out)
-            rows = []
-
-            def add(frame: pd.DataFrame) -> None:
-                none = lambda v: None if pd.isna(v) else v
+            for frame in chain([first], frames):
+                rows = []
                 for row in frame.astype({"page_id": "Int64", "refers_to": "Int64"}).itertuples(index=False):
                     record = record_bytes(none(row.page_id), none(row.url), row.html, none(row.refers_to), row.revisit)
                     rows.append((none(row.page_id), path, *bundle.add(record), len(record)))
-
-            add(first)
-            for frame in frames:
-                add(frame)
+                # the index counts only once the task, and so the bundle, is complete
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX_SCHEMA.split(", ")]).astype({"page_id": "Int64"})
             bundle.close()
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX_SCHEMA.split(", ")])
-        yield out.astype({"page_id": "Int64"})
 
     return materialize(with_roles(pages, min_bytes).mapInPandas(write, INDEX_SCHEMA), "warc-index")
 
 
+class FrameReader:
+    """Plain frames by bundle and number; the open bundle, its seek table and its last frame are kept."""
+
+    def __init__(self):
+        self.expand = zstandard.ZstdDecompressor()
+        self.bundle = self.held = self.close = None
+
+    def frame(self, bundle: str, number: int) -> bytes:
+        if bundle != self.bundle:
+            self.stop()
+            self.close = ExitStack()
+            self.source = self.close.enter_context(opened(bundle))
+            self.bundle, self.table = bundle, read_seek_table(self.source)
+        if number != self.held:
+            at, packed, plain = self.table[number]
+            self.source.seek(at)
+            self.data, self.held = self.expand.decompress(self.source.read(packed), max_output_size=plain), number
+        return self.data
+
+    def stop(self) -> None:
+        if self.close:
+            self.close.close()
+        self.bundle = self.held = self.close = None
+
+
 def read_bundles(index: DataFrame) -> DataFrame:
-    """Every record of the indexed bundles, read back frame by frame."""
-    names = materialize(index.groupBy("bundle").agg(F.count("*").alias("records")), "bundles")
+    """Every indexed record, read at its bundle, frame and offset.
+
+    Index rows are dealt by ranges of (bundle, frame), so a task opens few bundles
+    and expands each of its frames once; no page crosses the network. A record that
+    is not the one its index row names, or ends elsewhere, is an error.
+    """
+    bundles = index.select("bundle").distinct().count()
+    dealt = index.repartitionByRange(max(1, min(bundles, TASKS)), "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        expand = zstandard.ZstdDecompressor()
         number = lambda urn: int(urn[10:-1]) if len(urn) > 11 else None
-        for frame in frames:
-            for path in frame["bundle"]:
-                with opened(path) as source:
-                    for at, packed, plain in read_seek_table(source):
-                        source.seek(at)
-                        data, rows, place = expand.decompress(source.read(packed), max_output_size=plain), [], 0
-                        while place < len(data):
-                            head, payload, place = parse_record(data, place)
-                            revisit = head["WARC-Type"] == "revisit"
-                            digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                            if not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                                raise ValueError("a payload does not match its digest")
-                            size = int(head["X-Payload-Length"]) if revisit else len(payload)
-                            rows.append((number(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], number(head["WARC-Refers-To"]) if revisit else None))
-                        out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                        yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return each_in_a_task(names, "bundle").mapInPandas(read, schema)
+        reader = FrameReader()
+        try:
+            for frame in frames:
+                rows = []
+                for row in frame.astype({"page_id": "Int64"}).itertuples(index=False):
+                    head, payload, stop = parse_record(reader.frame(row.bundle, row.frame), row.offset)
+                    page = number(head["WARC-Record-ID"])
+                    if stop - row.offset != row.length or page != (None if pd.isna(row.page_id) else row.page_id):
+                        raise ValueError("the index names another record")
+                    revisit = head["WARC-Type"] == "revisit"
+                    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                        raise ValueError("a payload does not match its digest")
+                    size = int(head["X-Payload-Length"]) if revisit else len(payload)
+                    rows.append((page, size, digest, head["WARC-Type"], number(head["WARC-Refers-To"]) if revisit else None))
+                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+        finally:
+            reader.stop()
+
+    return dealt.mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
     """All pages, archived and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return read_bundles(write_bundles(pages, new_path(spark, "warc")))
+
+
+_PAYLOAD = "coalesce(html, '')"
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: The archive read back, as the plain definition over pages: five hex digits of the SHA-1 are four base-32 digits.
+ORACLE = f"""
+WITH digests AS (SELECT page_id, CAST(strlen({_PAYLOAD}) AS BIGINT) AS payload_bytes, sha1({_PAYLOAD}) AS hex FROM pages),
+keyed AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS first FROM digests)
+SELECT page_id, payload_bytes,
+       list_aggregate([substr('{_BASE32}',
+           CAST(((('0x' || substr(hex, CAST(5 * (k // 4) + 1 AS BIGINT), 5))::BIGINT >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1) for k in range(32)], 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM keyed"""
