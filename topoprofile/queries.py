@@ -19,7 +19,7 @@ from topoprofile.operators.components import connected_components
 from topoprofile.operators.egonet import ego_features
 from topoprofile.operators.factor import nmf, quantize_table
 from topoprofile.operators.local import AttributeOptions, degrees, local_features
-from topoprofile.operators.mdl import divergence, encoding_cost, rescale
+from topoprofile.operators.mdl import cheapest, divergence, encoding_cost, reconstructed, rescale
 from topoprofile.operators.prune import chebyshev, feature_groups, oldest, survivors
 from topoprofile.plans.profile import ProfileExtractor, aggregate_neighbors
 from topoprofile.plans.profile import neighborhood_features as generation_zero
@@ -185,7 +185,7 @@ FIXED_F = ((1.0, 0.5, 2.0), (0.25, 1.0, 0.5))
 
 
 def _approx(g: Column) -> Column:
-    return F.array(*(g[0] * FIXED_F[0][k] + g[1] * FIXED_F[1][k] for k in range(3)))
+    return reconstructed(g, np.array(FIXED_F))
 
 
 def encoding_costs(spark, sf_dir):
@@ -203,22 +203,35 @@ def reconstruct(spark, sf_dir):
     return _fixed_table(spark, sf_dir).select("id", F.inline(rows)).select("id", "k", F.round("x", 6).alias("x"))
 
 
-def rescale_costs(spark, sf_dir):
+def _cell_costs(spark, sf_dir) -> dict[tuple[int, int], tuple[float] | None]:
     """Costs by cell, summed over the whole part table; some cells are missing."""
     roles, bits = F.col("p_partkey") % 4, F.floor(F.col("p_partkey") / 4) % 11
     cells = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(roles.alias("n_roles"), bits.alias("n_bits")).agg(F.sum(F.col("p_partkey") * 13 % 11).alias("cost"))
+    # 44 at most
+    return {(r.n_roles, r.n_bits): None if (r.n_roles + r.n_bits) % 5 == 0 else (r.cost,) for r in cells.collect()}
+
+
+def rescale_costs(spark, sf_dir):
+    present = _cell_costs(spark, sf_dir)
     costs = np.full((4, 11), np.nan)
-    present = {(r.n_roles, r.n_bits): r.cost for r in cells.collect()}  # 44 at most
     for (r, b), cost in present.items():
-        costs[r, b] = np.nan if (r + b) % 5 == 0 else cost
+        costs[r, b] = cost[0] if cost else np.nan
     scaled = rescale(costs)
     rows = [(r, b, None if np.isnan(scaled[r, b]) else round(float(scaled[r, b]), 6)) for r, b in sorted(present)]
     return spark.createDataFrame(rows, "n_roles int, n_bits int, rescaled double")
 
 
 def best_cell(spark, sf_dir):
-    grid = rescale_costs(spark, sf_dir).where("rescaled IS NOT NULL")
-    return grid.orderBy("rescaled", "n_roles", "n_bits").limit(1)
+    n_roles, n_bits = cheapest(_cell_costs(spark, sf_dir))
+    return rescale_costs(spark, sf_dir).where((F.col("n_roles") == n_roles) & (F.col("n_bits") == n_bits))
+
+
+def quantize_fixed(spark, sf_dir):
+    """Three levels for entries that SQL can make: whole squares, 97 distinct ones."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    g = F.array(*(F.pow(F.col("p_partkey") * m % 97, 2).cast("double") for m in (5, 31)))
+    out = quantize_table(part.select(F.col("p_partkey").alias("id"), g.alias("g")), 3)
+    return out.select("id", *(F.round(F.col("g")[k], 6).alias(f"g{k}") for k in (0, 1)))
 
 
 def role_argmax(spark, sf_dir):
@@ -298,6 +311,7 @@ QUERIES = {
     "reconstruct": reconstruct,
     "rescale_costs": rescale_costs,
     "best_cell": best_cell,
+    "quantize_fixed": quantize_fixed,
     "role_argmax": role_argmax,
     "role_percentage": role_percentage,
     "adjacency_json": adjacency_json,
@@ -340,6 +354,21 @@ _HAT = [f"(g0 * {FIXED_F[0][k]} + g1 * {FIXED_F[1][k]})" for k in range(3)]
 _AGGS = lambda fns: " UNION ALL ".join(f"SELECT d.s AS id, '{f}({n})' AS feature, round(CAST({sql.format(f)} AS DOUBLE), 6) AS value FROM d JOIN g ON g.id = d.t GROUP BY d.s" for f in GEN0 for n, sql in fns)
 _GRID = "k AS (SELECT CAST(p_partkey % 4 AS INT) AS n_roles, CAST(floor(p_partkey / 4.0) % 11 AS INT) AS n_bits, sum(p_partkey * 13 % 11) AS total FROM part GROUP BY ALL), r AS (SELECT n_roles, n_bits, CASE WHEN (n_roles + n_bits) % 5 <> 0 THEN CAST(total AS DOUBLE) END AS cost FROM k), z AS (SELECT n_roles, n_bits, round(cost / nullif(sqrt(sum(cost * cost) OVER (PARTITION BY n_roles)), 0), 6) AS rescaled FROM r)"
 
+_SQUARES = "pow(p_partkey * 5 % 97, 2) AS g0, pow(p_partkey * 31 % 97, 2) AS g1"
+_MEAN = "(SELECT sum(x * n) / sum(n) FROM h WHERE {})"
+_LOW, _HIGH = "x <= (a + b) / 2", "x > (b + c) / 2"
+_NEAR = "round(CASE WHEN {0} <= (a + b) / 2 THEN a WHEN {0} <= (b + c) / 2 THEN b ELSE c END, 6) AS {0}"
+#: Lloyd steps from the first, middle and last distinct value; sixty are more than these entries take to settle.
+_LLOYD = f"""
+WITH RECURSIVE g AS (SELECT p_partkey AS id, {_SQUARES} FROM part),
+h AS (SELECT x, count(*) AS n FROM (SELECT g0 AS x FROM g UNION ALL SELECT g1 FROM g) GROUP BY x),
+steps AS (
+  SELECT 0 AS k, min(x) AS a, quantile_disc(x, 0.5) AS b, max(x) AS c FROM h
+  UNION ALL
+  SELECT k + 1, {_MEAN.format(_LOW)}, {_MEAN.format(f"NOT ({_LOW}) AND NOT ({_HIGH})")}, {_MEAN.format(_HIGH)} FROM steps WHERE k < 60)
+SELECT id, {_NEAR.format("g0")}, {_NEAR.format("g1")} FROM g, steps WHERE k = 60"""
+
+
 ORACLE_SQL = {
     "degree": f"WITH {_EDGES} SELECT s AS id, sum(w) AS degree FROM d GROUP BY 1",
     "in_out_total_degree": f"""WITH {_STEPS} SELECT v.id, coalesce(i.w, 0.0) AS in_degree, coalesce(o.w, 0.0) AS out_degree, coalesce(i.w, 0.0) + coalesce(o.w, 0.0) AS total_degree FROM v
@@ -370,6 +399,7 @@ ORACLE_SQL = {
     "error_cost": f"WITH {_G} SELECT round(sum(" + " + ".join(f"CASE WHEN v[{k + 1}] = 0 THEN 0 ELSE v[{k + 1}] * (ln(v[{k + 1}]) - ln({h})) - v[{k + 1}] + {h} END" for k, h in enumerate(_HAT)) + "), 6) AS error_cost FROM g",
     "reconstruct": f"WITH {_G} " + " UNION ALL ".join(f"SELECT id, {k} AS k, round({h}, 6) AS x FROM g" for k, h in enumerate(_HAT)),
     "rescale_costs": f"WITH {_GRID} SELECT * FROM z",
+    "quantize_fixed": _LLOYD,
     "best_cell": f"WITH {_GRID} SELECT * FROM z WHERE rescaled IS NOT NULL ORDER BY rescaled, n_roles, n_bits LIMIT 1",
     "role_argmax": f"WITH {_G} SELECT id, CASE WHEN g0 >= g1 THEN 'role_0' ELSE 'role_1' END AS role FROM g",
     "role_percentage": f"WITH {_G} SELECT id, round(g0 / (g0 + g1), 6) AS role_0, round(g1 / (g0 + g1), 6) AS role_1 FROM g",
