@@ -190,6 +190,12 @@ def test_groups_have_their_own_cutoffs(spark):
     assert {k for k in got if k >= 5000} == {5001, 5004} and len(got) == 802
 
 
+def test_features_are_computed_once(spark):
+    table = quality.with_features(docs(spark, ["few words", "a " * 40]))
+    plan = quality.sketch(table.where("NOT base_failed"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_merged_sketches_equal_one_sketch(spark):
     table = quality.with_features(docs(spark, [" ".join("x" * (1 + (j + k) % 9) for j in range(30)) for k in range(60)]))
     parts = quality.sketch(table.where("doc_id < 25")).unionByName(quality.sketch(table.where("doc_id >= 25")))

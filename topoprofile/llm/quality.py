@@ -113,9 +113,14 @@ def _text_features(texts: pd.Series) -> pd.DataFrame:
 
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the features, ``base_failed`` and ``_group`` added."""
+    """``docs`` with the features, ``base_failed`` and ``_group`` added.
+
+    Texts go to Python once: of a deterministic function Spark would push a filter on the features below it, and so
+    call it twice in a task, each time in a worker process of its own.
+    """
     small_batches(docs.sparkSession)
-    named = docs.withColumn("_f", F.pandas_udf(_text_features, FEATURES)(F.col(text)))
+    features = F.pandas_udf(_text_features, FEATURES).asNondeterministic()
+    named = docs.withColumn("_f", features(F.col(text)))
     names = [c.split()[0] for c in FEATURES.split(", ")]
     out = named.select(*(F.col(c) for c in docs.columns), *(F.col("_f")[n].alias(n) for n in names))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
