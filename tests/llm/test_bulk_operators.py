@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import sys
 import zlib
 from collections import Counter
 
@@ -239,6 +240,27 @@ def test_ids_of_any_tokenizer(name):
     assert encoder.splits == (name == "word_bpe_49k.json")
 
 
+def test_words_and_marks_by_the_model_alone():
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(token_files.default_tokenizer()), token_files.RunEncoder(token_files.default_tokenizer())
+    draw = random.Random(7)
+    letters, marks = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ", [*"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "", "", "'s", "1", "\u0301", "É"]
+    runs = ["".join(draw.choices(letters, k=draw.randint(1, 12))) + "".join(draw.choices(marks, k=draw.randint(0, 3))) for _ in range(4000)]
+    got = [np.frombuffer(raw, encoder.kind).tolist() for raw in encoder.encode([" ".join(runs), *runs])]
+    assert encoder.plain and got == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in [" ".join(runs), *runs]]
+
+
+def test_tables_of_the_run_cache_stay_small(monkeypatch):
+    encoder = token_files.RunEncoder(token_files.default_tokenizer())
+    monkeypatch.setattr(encoder, "_learn", lambda new: [encoder.known.__setitem__(run, b"") for run in new])
+    most = 0
+    for start in range(0, 2_000_000, 50_000):
+        encoder.encode([" ".join(map(str, range(start, start + 50_000)))])
+        most = max(most, sys.getsizeof(encoder.known) + sys.getsizeof(encoder.older))
+    assert encoder.older and most < 45_000_000
+
+
 def test_files_of_attempts_differ(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
     index = [warc.write_bundles(pages, str(tmp_path / "same")) for _ in range(2)]

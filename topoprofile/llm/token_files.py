@@ -26,6 +26,7 @@ Texts of any length are encoded whole. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from array import array
@@ -49,11 +50,16 @@ LEVEL = 3
 SAMPLE_DOCS = 2_000
 SAMPLE_CHARS = 4_096
 DICTIONARY_BYTES = 65_536
-CACHE = 800_000
+#: Runs of a worker's younger cache (an older one is as large): just under 2**20 * 2/3, where a dict doubles its table.
+CACHE = 690_000
 #: Runs of one call to the tokenizer, and the run put between them.
 JOINED = 200
 SEPARATOR = b"\x01"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: A lower-case word of a-z and the lower-case letters of Latin-1 (UTF-8), and the ASCII marks behind it: no apostrophe, no "<".
+_WORD = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:;=-@\[-`{-~]*)")
+#: Byte-level models read a byte that does not print as another character.
+_BYTES = {0x9F: chr(0x141), 0xA0: chr(0x142), 0xAD: chr(0x143)}
 #: Characters whose distinct runs are encoded together.
 BATCH_CHARS = 2_000_000
 
@@ -86,7 +92,10 @@ class RunEncoder:
         probes = [letters, letters[::-1], *letters, "the", "internationalization", "qzxjq"]
         self.lowers = all(ids(form) == ids(p) for p in probes for form in (p.upper(), p.title()))
         self.splits = _splits(ids)
-        self.plain = self.lowers and all([t.id for t in self.tokenizer.model.tokenize(p)] == ids(p) for p in probes)
+        probes += [*"àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", "éàíüßñ", "straße", "português", *"!.,#$%&()*+-/:;=>?@[]^_`{|}~\\\"", "...", "--", ".***"]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.plain = self.lowers and all("<" in t.content for t in added) and all(self._model_ids(p.encode()) == ids(p) for p in probes)
+        self.plain = self.plain and all(ids(w + m) == ids(w) + ids(m) for w in ("the", "é", "straße") for m in probes if not m[0].isalpha())
         self.code = "H" if self.kind.itemsize == 2 else "I"
 
     @classmethod
@@ -117,18 +126,38 @@ class RunEncoder:
         raw = text.encode("utf-8")
         return (raw.translate(_LOWER) if self.lowers and b"<|" not in raw else raw).split()
 
+    def _model_ids(self, piece: bytes) -> list[int]:
+        """What the model alone makes of a word, or of marks."""
+        text = piece.decode("latin-1")
+        return [t.id for t in self.tokenizer.model.tokenize(text if piece.isascii() else text.translate(_BYTES))]
+
+    def _packed(self, piece: bytes) -> bytes:
+        return array(self.code, self._model_ids(piece)).tobytes()
+
     def _learn(self, new: list[bytes]) -> None:
         """Ids of unknown runs: many in one call, with a separator run between them that has an id of its own."""
         alone = [run for run in new if self.separator is None or SEPARATOR in run]
         for run in alone:
             self.known[run] = np.array(self.tokenizer.encode(run.decode("utf-8"), add_special_tokens=False).ids, self.kind).tobytes()
         many = [run for run in new if self.separator is not None and SEPARATOR not in run]
-        if self.plain:  # a run of ASCII letters is one word as it stands: only the model is needed
+        if self.plain:  # such a word is one for the model as it stands, and so are its marks: only the model is needed
             # (with "<|" in a text its letters may be upper case: those take the long way)
-            words, tokenize = [run for run in many if run.isalpha() and run.islower()], self.tokenizer.model.tokenize
-            many = [run for run in many if not (run.isalpha() and run.islower())]
-            for run in words:
-                self.known[run] = array(self.code, [t.id for t in tokenize(run.decode("ascii"))]).tobytes()
+            rest, marked, tails = [], [], {}
+            for run in many:
+                if run.isalpha() and run.islower():
+                    self.known[run] = self._packed(run)
+                elif found := _WORD.fullmatch(run):
+                    if found[2]:
+                        marked.append((run, *found.groups()))
+                    else:
+                        self.known[run] = self._packed(run)
+                else:
+                    rest.append(run)
+            for run, word, marks in marked:  # most of their words are known by now
+                if marks not in tails:
+                    tails[marks] = self._packed(marks)
+                self.known[run] = (self.known.get(word) or self._packed(word)) + tails[marks]
+            many = rest
         for at in range(0, len(many), JOINED):
             part = many[at : at + JOINED]
             text = (b" " + SEPARATOR + b" ").join(part).decode("utf-8")
