@@ -6,6 +6,7 @@ import random
 import pytest
 
 from topoprofile import PropertyGraph
+from topoprofile.operators import egonet
 from topoprofile.operators.components import connected_components
 from topoprofile.operators.egonet import ego_features
 from topoprofile.operators.local import AttributeOptions, local_features
@@ -109,6 +110,23 @@ def test_ego_against_definition(spark, directed):
     assert rows(ego_features(graph)) == brute_ego(edges, directed)
 
 
+@pytest.mark.parametrize("directed", [False, True])
+def test_triangles_are_found_once_over_many_parts(spark, monkeypatch, directed):
+    """No table of wedges is made: parts get edges only, and look up a few wedges at a time."""
+    monkeypatch.setattr(egonet, "PART", 40)
+    monkeypatch.setattr(egonet, "WEDGES", 7)
+    rng = random.Random(6)
+    edges = {}
+    for _ in range(300):
+        a, b = f"v{rng.randrange(5 if rng.random() < 0.3 else 40)}", f"v{rng.randrange(40)}"
+        edges[(a, b) if directed else (min(a, b), max(a, b))] = rng.randint(1, 9) * 2.0 ** rng.choice([-25, 0, 9])
+    edges = [(*k, w) for k, w in edges.items()]
+    graph = PropertyGraph.from_edges(spark.createDataFrame(edges, "src string, dst string, weight double"), weight="weight", directed=directed)
+    assert graph.weight_span.limbs > 1
+    assert egonet.math.isqrt(6 * len(edges) // egonet.PART) >= egonet.LEAST_GROUPS
+    assert rows(ego_features(graph)) == brute_ego(edges, directed)
+
+
 def test_loops_count_twice_in_degree_and_once_inside(spark):
     graph = PropertyGraph.from_edges(spark.createDataFrame([(1, 1), (1, 2)], "src long, dst long"))
     assert rows(neighborhood_features(graph)) == {1: (3, 2, 0), 2: (1, 2, 0)}
