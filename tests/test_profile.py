@@ -98,6 +98,14 @@ def test_empty_values_of_nodes_without_neighbors(spark):
         aggregations(["nothing"])
 
 
+def test_neighbor_values_are_dealt_before_they_are_summed(spark):
+    nodes = spark.createDataFrame([("a", 2.5), ("b", 3.0)], "id string, x double")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, neighbor string")
+    plan = aggregate_neighbors(pairs, nodes, ["x"], aggregations(None))._jdf.queryExecution().executedPlan().toString()
+    whole, partial = plan.index("Aggregate(keys=[id"), plan.index("partial_sum")
+    assert "Exchange" not in plan[whole:partial]
+
+
 def test_live_and_final_features_differ(spark):
     graph = path(spark)
     plan = ProfileExtractor(graph)
